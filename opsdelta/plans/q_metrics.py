@@ -40,16 +40,16 @@ def _(spark, sf):
 
 @query(
     "explode_samples",
-    f"select file, metric, {r6s('value')} as value, unit, player_count, {r6s('"at"')} as "at" from v_doc_samples",
+    f"select file, metric, {r6s('value')} as value, unit, player_count, {r6s('at_s')} as at_s from v_doc_samples",
 )
 def _(spark, sf):
     s = TM.explode_samples(docs(spark, sf))
-    return s.select("file", "metric", r6("value").alias("value"), "unit", F.col("player_count").cast("bigint").alias("player_count"), r6("at").alias("at"))
+    return s.select("file", "metric", r6("value").alias("value"), "unit", F.col("player_count").cast("bigint").alias("player_count"), r6("at").alias("at_s"))
 
 
-@query("explode_events", f"select file, kind, resource, detail, {r6s('"at"')} as "at" from v_doc_events")
+@query("explode_events", f"select file, kind, resource, detail, {r6s('at_s')} as at_s from v_doc_events")
 def _(spark, sf):
-    return TM.explode_events(docs(spark, sf)).select("file", "kind", "resource", "detail", r6("at").alias("at"))
+    return TM.explode_events(docs(spark, sf)).select("file", "kind", "resource", "detail", r6("at").alias("at_s"))
 
 
 @query(

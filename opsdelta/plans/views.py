@@ -331,7 +331,7 @@ def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
 VIEWS = {
     "v_doc_rows": f"""
 select *, 'telemetry-' || user_id || '-' || day || '-' || block || '.json' as file, 'srv' || (user_id % 4) as server_id,
-       coalesce(json_extract_string(props, '$.k')::BIGINT, 0) as k, (epoch_us(ts) / 1000000.0::DOUBLE)::DOUBLE as "at"
+       coalesce(json_extract_string(props, '$.k')::BIGINT, 0) as k, (epoch_us(ts) / 1000000.0::DOUBLE)::DOUBLE as at_s
 from (select *, epoch_us(ts) // 86400000000 as day, event_id // {DOC_EVENTS} as block from events)""",
     "v_docs": """
 select file, any_value(server_id) as server_id, any_value(user_id) as u, any_value(day) as day, count(*) as n,
@@ -344,12 +344,12 @@ select file, any_value(server_id) as server_id, any_value(user_id) as u, any_val
             when 2 then 'not a JSON object' when 3 then 'not valid JSON' end as reason
 from v_doc_rows group by file""",
     "v_doc_samples": """
-select file, server_id, event_type as metric, value, 'ms' as unit, case when event_id % 4 <> 0 then k end as player_count, "at", ts,
+select file, server_id, event_type as metric, value, 'ms' as unit, case when event_id % 4 <> 0 then k end as player_count, at_s, ts,
        'probe@' || coalesce(case when user_id % 4 <> 0 then '1.' || (user_id % 3) end, 'unknown') as source
 from v_doc_rows where user_id % 7 > 3 and event_id % 9 <> 0""",
     "v_doc_events": """
 select file, server_id, event_type as kind, case when event_type <> 'view' then 'r' || (k % 5) end as resource,
-       'k=' || k as detail, "at", ts,
+       'k=' || k as detail, at_s, ts,
        'probe@' || coalesce(case when user_id % 4 <> 0 then '1.' || (user_id % 3) end, 'unknown') as source
 from v_doc_rows where user_id % 7 > 3 and event_id % 11 <> 0""",
     "v_doc_parts": """
@@ -358,9 +358,9 @@ union all select file, 'version:' || coalesce(collector_version, '') from v_docs
 union all select file, 'schema:1.0' from v_docs where reason is null
 union all select file, 'written:' || cast(written as DECIMAL(38,6)) from v_docs where reason is null
 union all select file, 'uptime:' || cast(u * 1000 as DECIMAL(38,6)) from v_docs where reason is null
-union all select file, 's:' || metric || ':' || cast(value as DECIMAL(38,6)) || ':' || unit || ':' || cast("at" as DECIMAL(38,6)) || ':'
+union all select file, 's:' || metric || ':' || cast(value as DECIMAL(38,6)) || ':' || unit || ':' || cast(at_s as DECIMAL(38,6)) || ':'
        || coalesce(cast(cast(player_count as DECIMAL(38,6)) as VARCHAR), '') from v_doc_samples
-union all select file, 'e:' || kind || ':' || coalesce(resource, '') || ':' || detail || ':' || cast("at" as DECIMAL(38,6)) from v_doc_events""",
+union all select file, 'e:' || kind || ':' || coalesce(resource, '') || ':' || detail || ':' || cast(at_s as DECIMAL(38,6)) from v_doc_events""",
     "v_digests": """
 select d.*, p.digest from v_docs d join (select file, sha256(string_agg(part, ' ' order by part) || ' ') as digest from v_doc_parts group by file) p
 using (file)""",

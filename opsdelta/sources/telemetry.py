@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint, finite, fixed
 
-SAMPLE = "struct<metric:string,value:double,unit:string,player_count:double,at:double>"
-EVENT = "struct<kind:string,resource:string,detail:string,player_count:double,at:double>"
-
-NUMERIC = ["BIGINT", "DOUBLE", "FLOAT"]
+HEADER = (
+    "struct<schemaVersion:variant,collector:variant,collectorVersion:variant,writtenAt:variant,serverUptimeMs:variant,"
+    "samples:variant,events:variant,dropped:struct<samples:variant,events:variant>>"
+)
+SAMPLE = "struct<metric:variant,value:variant,unit:variant,playerCount:variant,at:variant>"
+EVENT = "struct<kind:variant,resource:variant,detail:variant,playerCount:variant,at:variant>"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -23,66 +25,81 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _typed(v: Column, path: str, kind: str) -> Column:
-    """A field only if its JSON type is the wanted one; no silent conversion."""
-    field = F.try_variant_get(v, path, "variant")
-    seen = F.schema_of_variant(field)
-    if kind == "string":
-        return F.when(seen == "STRING", F.try_variant_get(v, path, "string"))
-    number = seen.isin(NUMERIC) | seen.startswith("DECIMAL")
-    value = F.try_variant_get(v, path, "double")
-    return F.when(number & finite(value), value)
+def _string(v: Column) -> Column:
+    """The text of a JSON string; NULL for any other type."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _number(v: Column) -> Column:
+    """A JSON number as double; a number in quotes is none."""
+    return F.when(F.substring(F.schema_of_variant(v), 1, 3).isin("BIG", "DEC", "DOU", "FLO"), F.try_variant_get(v, "$", "double"))
+
+
+def _let(value: Column, body) -> Column:
+    """One-element array of `body(value)`, with `value` computed once."""
+    return F.transform(F.array(value), body)
+
+
+def _items(v: Column, item: str, fields, keep) -> Column:
+    """The array in `v` as structs; elements that fail `keep` are dropped."""
+    each = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(F.transform(F.transform(each, lambda e: F.try_variant_get(e, "$", item)), fields), keep)
 
 
 def parse(docs: DataFrame) -> DataFrame:
     """Add the checked document or the reason why it is not one.
 
-    Keeps the columns of `docs` (which include `json`). Bad samples and events
-    are dropped, missing fields stay NULL, and nothing fails the whole read.
+    Keeps the columns of `docs` but for `json`. Bad samples and events are
+    dropped, missing fields stay NULL, and nothing fails the whole read. Each
+    text is parsed once: the document leaves a generator as one row, which also
+    keeps filters on it from repeating the work below.
     """
-    v = F.col("_v")
-    version = _typed(v, "$.schemaVersion", "string")
-    reason = (
-        F.when(v.isNull(), F.lit("not valid JSON"))
-        .when(~F.schema_of_variant(v).startswith("OBJECT"), F.lit("not a JSON object"))
-        .when(version.isNull(), F.lit("no schemaVersion"))
-        .when(~version.isin(fixed.TELEMETRY_VERSIONS), F.concat(F.lit("unsupported schemaVersion "), version))
-    )
+    infinite = F.lit(float("inf"))
     sample = lambda x: F.struct(
-        _typed(x, "$.metric", "string").alias("metric"),
-        _typed(x, "$.value", "number").alias("value"),
-        _typed(x, "$.unit", "string").alias("unit"),
-        _typed(x, "$.playerCount", "number").alias("player_count"),
-        _typed(x, "$.at", "number").alias("at"),
+        _string(x["metric"]).alias("metric"), _number(x["value"]).alias("value"), _string(x["unit"]).alias("unit"),
+        _number(x["playerCount"]).alias("player_count"), _number(x["at"]).alias("at"),
     )
     event = lambda x: F.struct(
-        _typed(x, "$.kind", "string").alias("kind"),
-        _typed(x, "$.resource", "string").alias("resource"),
-        _typed(x, "$.detail", "string").alias("detail"),
-        _typed(x, "$.playerCount", "number").alias("player_count"),
-        _typed(x, "$.at", "number").alias("at"),
+        _string(x["kind"]).alias("kind"), _string(x["resource"]).alias("resource"), _string(x["detail"]).alias("detail"),
+        _number(x["playerCount"]).alias("player_count"), _number(x["at"]).alias("at"),
     )
-    items = lambda path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    ok = F.col("reason").isNull()
-    dropped_s, dropped_e = _typed(v, "$.dropped.samples", "number"), _typed(v, "$.dropped.events", "number")
-    both = dropped_s.isNotNull() & dropped_e.isNotNull()
-    count = lambda n: F.when(both, n).otherwise(F.lit(0.0)).cast("bigint")
-    return (
-        docs.withColumn("_v", F.try_parse_json("json"))
-        .withColumn("reason", reason)
-        .withColumn("schema_version", F.when(ok, version))
-        .withColumn("collector", F.when(ok, F.coalesce(_typed(v, "$.collector", "string"), F.lit(fixed.DEFAULT_COLLECTOR))))
-        .withColumn("collector_version", F.when(ok, _typed(v, "$.collectorVersion", "string")))
-        .withColumn("written_at", F.when(ok, F.coalesce(_typed(v, "$.writtenAt", "number"), F.lit(0.0))))
-        .withColumn("uptime_ms", F.when(ok, F.coalesce(_typed(v, "$.serverUptimeMs", "number"), F.lit(0.0))))
-        .withColumn("samples", F.when(ok, F.transform(items("$.samples"), sample)))
-        .withColumn("samples", F.filter("samples", lambda s: s["metric"].isNotNull() & s["value"].isNotNull() & s["unit"].isNotNull() & s["at"].isNotNull()))
-        .withColumn("events", F.when(ok, F.transform(items("$.events"), event)))
-        .withColumn("events", F.filter("events", lambda e: e["kind"].isNotNull() & e["at"].isNotNull()))
-        .withColumn("dropped_samples", F.when(ok, count(dropped_s)))
-        .withColumn("dropped_events", F.when(ok, count(dropped_e)))
-        .drop("_v", "json")
+    good_sample = lambda s: (
+        s["metric"].isNotNull() & s["unit"].isNotNull() & (F.abs(s["value"]) < infinite) & (F.abs(s["at"]) < infinite)
+    )
+    good_event = lambda e: e["kind"].isNotNull() & (F.abs(e["at"]) < infinite)
+
+    def fields(p: Column) -> Column:
+        h = p["h"]
+        version = _string(h["schemaVersion"])
+        reason = (
+            F.when(p["shape"].isNull(), F.lit("not valid JSON"))
+            .when(p["shape"] != "OBJECT", F.lit("not a JSON object"))
+            .when(version.isNull(), F.lit("no schemaVersion"))
+            .when(~version.isin(fixed.TELEMETRY_VERSIONS), F.concat(F.lit("unsupported schemaVersion "), version))
+        )
+        lost_s, lost_e = _number(h["dropped"]["samples"]), _number(h["dropped"]["events"])
+        count = lambda mine, other: F.when(other.isNotNull(), F.coalesce(mine, F.lit(0.0))).otherwise(F.lit(0.0)).cast("bigint")
+        return F.struct(
+            reason.alias("reason"),
+            version.alias("schema_version"),
+            F.coalesce(_string(h["collector"]), F.lit(fixed.DEFAULT_COLLECTOR)).alias("collector"),
+            _string(h["collectorVersion"]).alias("collector_version"),
+            F.coalesce(_number(h["writtenAt"]), F.lit(0.0)).alias("written_at"),
+            F.coalesce(_number(h["serverUptimeMs"]), F.lit(0.0)).alias("uptime_ms"),
+            _items(h["samples"], SAMPLE, sample, good_sample).alias("samples"),
+            _items(h["events"], EVENT, event, good_event).alias("events"),
+            count(lost_s, lost_e).alias("dropped_samples"),
+            count(lost_e, lost_s).alias("dropped_events"),
+        )
+
+    heads = _let(
+        F.try_parse_json("json"),
+        lambda v: F.struct(
+            F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0).alias("shape"), F.try_variant_get(v, "$", HEADER).alias("h")
+        ),
     )
+    rest = [c for c in docs.columns if c != "json"]
+    return docs.select(*rest, F.inline(F.transform(heads, fields)))
 
 
 def problems(parsed: DataFrame) -> DataFrame:
@@ -180,7 +197,7 @@ def observed_names(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(names)).alias("n")).select("n.role", "n.name").distinct()
 
 
-def _number(x: Column) -> Column:
+def _digits(x: Column) -> Column:
     return x.cast("decimal(38,6)").cast("string")
 
 
@@ -194,21 +211,21 @@ def with_digest(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("collector:"), F.col("collector")),
         F.concat(F.lit("version:"), F.coalesce("collector_version", F.lit(""))),
         F.concat(F.lit("schema:"), F.col("schema_version")),
-        F.concat(F.lit("written:"), _number(F.col("written_at"))),
-        F.concat(F.lit("uptime:"), _number(F.col("uptime_ms"))),
+        F.concat(F.lit("written:"), _digits(F.col("written_at"))),
+        F.concat(F.lit("uptime:"), _digits(F.col("uptime_ms"))),
     )
     s = F.transform(
         "samples",
         lambda x: F.concat(
-            F.lit("s:"), x["metric"], F.lit(":"), _number(x["value"]), F.lit(":"), x["unit"], F.lit(":"),
-            _number(x["at"]), F.lit(":"), F.coalesce(_number(x["player_count"]), F.lit("")),
+            F.lit("s:"), x["metric"], F.lit(":"), _digits(x["value"]), F.lit(":"), x["unit"], F.lit(":"),
+            _digits(x["at"]), F.lit(":"), F.coalesce(_digits(x["player_count"]), F.lit("")),
         ),
     )
     e = F.transform(
         "events",
         lambda x: F.concat(
             F.lit("e:"), x["kind"], F.lit(":"), F.coalesce(x["resource"], F.lit("")), F.lit(":"),
-            F.coalesce(x["detail"], F.lit("")), F.lit(":"), _number(x["at"]),
+            F.coalesce(x["detail"], F.lit("")), F.lit(":"), _digits(x["at"]),
         ),
     )
     return docs.withColumn("digest", fingerprint(F.concat(head, s, e)))

@@ -22,6 +22,7 @@ def local_session(cores: int = 8, partitions: int = 8):
         "opsdelta-tests",
         f"local[{cores}]",
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=str(partitions),
         spark__driver__memory="12g",
     )
