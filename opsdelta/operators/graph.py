@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finding_id, fixed
-from ..session import cut_lineage
+from ..session import cut_and_count, cut_lineage
 
 
 def build_edges(dependencies: DataFrame, references: DataFrame) -> DataFrame:
@@ -66,84 +66,73 @@ def _arcs(resolved: DataFrame) -> DataFrame:
     return resolved.where("resolved").select(F.col("from").alias("src"), F.col("target").alias("dst")).distinct()
 
 
-STEPS_PER_ROUND = 3
+def _reach_labels(arcs: DataFrame) -> DataFrame:
+    """(id, up, down): least node that reaches each node, and least it reaches.
 
-
-def _spread_min(labels: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Give every node the least label among its own and its predecessors'.
-
-    Repeats until nothing changes. Each round takes a few steps in one job and
-    ends in a reliable checkpoint; the driver only reads whether any changed.
+    Both labels spread in the same rounds. A round also adopts the label of the
+    own label, so the distance covered doubles and long chains take few rounds.
+    All of it is one join of "who asks whom" with the labels, and one aggregate.
+    Rounds end in a reliable checkpoint; the driver only reads whether a label
+    changed.
     """
-    current = labels.select("id", "label")
+    ends = arcs.select(F.col("src").alias("id")).union(arcs.select("dst")).distinct()
+    current = ends.select("id", F.col("id").alias("up"), F.col("id").alias("down"))
+    ask = lambda df, whom, who, up: df.select(
+        F.col(whom).alias("whom"), F.col(who).alias("id"), F.lit(up).alias("wants_up")
+    )
+    along = ask(arcs, "src", "dst", True).unionByName(ask(arcs, "dst", "src", False))
+    none = F.lit(None).cast("string")
     while True:
-        step = current.withColumn("start", F.col("label"))
-        for _ in range(STEPS_PER_ROUND):
-            sent = arcs.join(step.select(F.col("id").alias("src"), "label"), "src").select(
-                F.col("dst").alias("id"), "label", F.lit(None).cast("string").alias("start")
-            )
-            step = step.unionByName(sent).groupBy("id").agg(F.min("label").alias("label"), F.max("start").alias("start"))
-        step = cut_lineage(step)
-        if step.where(F.col("label") != F.col("start")).isEmpty():
-            return step.select("id", "label")
-        current = step.select("id", "label")
+        asked = along.unionByName(ask(current, "up", "id", True)).unionByName(ask(current, "down", "id", False))
+        answers = asked.join(
+            current.select(F.col("id").alias("whom"), F.col("up").alias("_up"), F.col("down").alias("_down")), "whom"
+        ).select(
+            "id",
+            F.when(F.col("wants_up"), F.col("_up")).alias("up"),
+            F.when(~F.col("wants_up"), F.col("_down")).alias("down"),
+            none.alias("was_up"),
+            none.alias("was_down"),
+        )
+        step, changed = cut_and_count(
+            current.withColumn("was_up", F.col("up"))
+            .withColumn("was_down", F.col("down"))
+            .unionByName(answers)
+            .groupBy("id")
+            .agg(*[F.min(c).alias(c) for c in ("up", "down", "was_up", "was_down")]),
+            (F.col("up") != F.col("was_up")) | (F.col("down") != F.col("was_down")),
+        )
+        current = step.select("id", "up", "down")
+        if not changed:
+            return current
 
 
 def components(resolved: DataFrame) -> DataFrame:
     """(name, component): strongly connected components, named by least member.
 
-    Nodes that are on no cycle are components of their own. Each phase spreads
-    the least name forward; nodes whose label reaches them back from the same
-    root form that root's component and leave the graph.
+    A node whose two labels agree reaches that node and is reached by it, so it
+    belongs to its component. Arcs between nodes with different labels lie on
+    no cycle and are dropped; the rest goes into the next phase. Nodes on no
+    cycle end as components of their own.
     """
-    arcs = cut_lineage(_arcs(resolved).where(F.col("src") != F.col("dst")))
-    nodes = arcs.select(F.col("src").alias("id")).union(arcs.select(F.col("dst"))).distinct()
-    loops = _arcs(resolved).where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"))
-    everyone = cut_lineage(nodes.union(loops).distinct())
+    arcs = cut_lineage(_arcs(resolved))
+    everyone = arcs.select(F.col("src").alias("name")).union(arcs.select("dst")).distinct()
+    live, size = cut_and_count(arcs.where(F.col("src") != F.col("dst")))
     found = None
-    live = arcs
-    while True:
-        live = _trim(live)
-        if live.isEmpty():
-            break
-        ids = live.select(F.col("src").alias("id")).distinct()
-        forward = cut_lineage(_spread_min(ids.withColumn("label", F.col("id")), live))
-        inside = (
-            live.join(forward.select(F.col("id").alias("src"), F.col("label").alias("ls")), "src")
-            .join(forward.select(F.col("id").alias("dst"), F.col("label").alias("ld")), "dst")
-            .where(F.col("ls") == F.col("ld"))
-        )
-        back = cut_lineage(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        # Walk back from each root inside its colour; '~' sorts after any mark.
-        seed = forward.select("id", F.when(F.col("id") == F.col("label"), F.lit("!")).otherwise(F.lit("~")).alias("label"))
-        reached = _spread_min(seed, back).where(F.col("label") == "!").select("id")
-        members = cut_lineage(forward.join(reached, "id").select(F.col("id").alias("name"), F.col("label").alias("component")))
+    while size:
+        labels = _reach_labels(live)
+        members = labels.where(F.col("up") == F.col("down")).select(F.col("id").alias("name"), F.col("up").alias("component"))
         found = members if found is None else found.unionByName(members)
-        gone = members.select(F.col("name").alias("src"))
-        live = cut_lineage(
-            live.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti")
+        open_ends = labels.where(F.col("up") != F.col("down"))
+        live, size = cut_and_count(
+            live.join(open_ends.select(F.col("id").alias("src"), F.col("up").alias("_u1"), F.col("down").alias("_d1")), "src")
+            .join(open_ends.select(F.col("id").alias("dst"), F.col("up").alias("_u2"), F.col("down").alias("_d2")), "dst")
+            .where((F.col("_u1") == F.col("_u2")) & (F.col("_d1") == F.col("_d2")))
+            .select("src", "dst")
         )
     if found is None:
-        return everyone.select(F.col("id").alias("name"), F.col("id").alias("component"))
-    rest = everyone.withColumnRenamed("id", "name").join(found, "name", "left_anti")
-    return found.unionByName(rest.withColumn("component", F.col("name")))
-
-
-def _trim(arcs: DataFrame) -> DataFrame:
-    """Drop arcs that cannot lie on a cycle: no way in or no way out."""
-    before = arcs.count()
-    while before:
-        arcs_out = arcs
-        for _ in range(STEPS_PER_ROUND):
-            starts = arcs_out.select(F.col("src").alias("dst")).distinct()
-            ends = arcs_out.select(F.col("dst").alias("src")).distinct()
-            arcs_out = arcs_out.join(starts, "dst", "left_semi").join(ends, "src", "left_semi")
-        arcs = cut_lineage(arcs_out.select("src", "dst"))
-        after = arcs.count()
-        if after == before:
-            break
-        before = after
-    return arcs
+        return everyone.select("name", F.col("name").alias("component"))
+    rest = everyone.join(found, "name", "left_anti").withColumn("component", F.col("name"))
+    return found.unionByName(rest)
 
 
 def cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
@@ -168,18 +157,18 @@ def cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     )
     found = loops
     while True:
-        grown = cut_lineage(
+        grown, size = cut_and_count(
             frontier.join(inner, F.col("end") == F.col("src")).where(
                 (F.col("dst") == F.col("start"))
                 | ((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
             )
         )
+        if not size:
+            break
         found = found.unionByName(grown.where(F.col("dst") == F.col("start")).select(F.col("path").alias("cycle")))
         frontier = grown.where(F.col("dst") != F.col("start")).select(
             "start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")
         )
-        if frontier.isEmpty():
-            break
     return found.withColumn("length", F.size("cycle").cast("bigint"))
 
 

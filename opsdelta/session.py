@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,9 +52,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives the loss of executors, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from the written table.
+
+    Like a reliable checkpoint it survives the loss of executors. Unlike
+    `checkpoint()` it also drops the plan's inferred constraints, which grow
+    from round to round of an iterative job until planning takes minutes.
+    """
+    return cut_and_count(df)[0]
+
+
+def cut_and_count(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """`cut_lineage` that also counts rows (those matching `where`) as it writes."""
+    path = staging_path(df.sparkSession, "round")
+    seen = Observation()
+    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+    df.observe(seen, counted.alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
