@@ -283,7 +283,11 @@ def _(spark, sf):
 
 
 def observations(spark, sf):
-    return V.table(spark, sf, "events").select(
+    return as_observations(V.table(spark, sf, "events"))
+
+
+def as_observations(events):
+    return events.select(
         F.col("event_id").alias("id"), V.pre("u", "user_id").alias("resource"), F.col("ts").cast("timestamp").alias("observed_at"),
         F.when(F.col("value") > 20, "started").otherwise("stopped").alias("state"),
     )

@@ -48,9 +48,13 @@ SIGNAL_KINDS = {
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
+    return as_signals(table(spark, sf, "events"))
+
+
+def as_signals(events: DataFrame) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in SIGNAL_KINDS.items() for x in kv]), F.col("event_type"))
     resource = F.when(F.col("event_type") != "view", pre("r", k_of_props() % 5))
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         pre("srv", "user_id").alias("server_id"),
         kind.alias("kind"),
@@ -274,55 +278,94 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 DOC_EVENTS = 5000
 
 
+def _quoted(name: str, x: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":"'), x, F.lit('"'))
+
+
+def _plain(name: str, x) -> Column:
+    return F.concat(F.lit(f'"{name}":'), S(x))
+
+
+def _object(*fields: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def json_sample() -> Column:
+    """An event as a JSON sample; every ninth has its number in quotes."""
+    e = F.col("event_id")
+    value = F.when(e % 9 == 0, _quoted("value", S("value"))).otherwise(_plain("value", "value"))
+    return _object(
+        _quoted("metric", F.col("event_type")), value, _quoted("unit", F.lit("ms")),
+        F.when(e % 4 != 0, _plain("playerCount", k_of_props())), _plain("at", json_seconds()),
+    )
+
+
+def json_event() -> Column:
+    """An event as a JSON event; every eleventh lacks its kind."""
+    k = k_of_props()
+    return _object(
+        F.when(F.col("event_id") % 11 != 0, _quoted("kind", F.col("event_type"))),
+        F.when(F.col("event_type") != "view", _quoted("resource", pre("r", k % 5))),
+        _quoted("detail", pre("k=", k)), _plain("at", json_seconds()),
+    )
+
+
+def json_seconds() -> Column:
+    return S((F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("decimal(20,6)"))
+
+
+def day_number() -> Column:
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("bigint")
+
+
+def json_document(samples: Column, events: Column) -> Column:
+    """A telemetry document of one user and day; some users write broken ones."""
+    u = F.col("user_id")
+    dropped = F.concat(F.lit('"dropped":{"samples":'), S(u % 3), F.lit(',"events":'), S(u % 2), F.lit("}"))
+    body = _object(
+        F.when(u % 7 != 1, _quoted("schemaVersion", F.when(u % 7 == 0, "2.0").otherwise("1.0"))),
+        _quoted("collector", F.lit("probe")),
+        F.when(u % 4 != 0, _quoted("collectorVersion", pre("1.", u % 3))),
+        _plain("writtenAt", F.when(F.col("day") % 5 == 0, F.lit(0)).otherwise(F.col("day") * 86400 + 86399)),
+        _plain("serverUptimeMs", u * 1000),
+        F.concat(F.lit('"samples":['), samples, F.lit("]")),
+        F.concat(F.lit('"events":['), events, F.lit("]")),
+        F.when(u % 5 != 0, dropped),
+    )
+    return (
+        F.when(u % 7 == 2, F.concat(F.lit("["), body, F.lit("]"))).when(u % 7 == 3, F.concat(F.lit("{"), body)).otherwise(body)
+    )
+
+
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Events as telemetry files: (file, server_id, json), some of them broken.
 
     A file covers one user, one day and at most 5000 consecutive events, the
     size of a writer's buffer.
     """
-    e, u, k = F.col("event_id"), F.col("user_id"), k_of_props()
-    ts = F.col("ts").cast("timestamp")
-    at = S((F.unix_micros(ts) / F.lit(1e6)).cast("decimal(20,6)"))
-    q = lambda name, x: F.concat(F.lit(f'"{name}":"'), x, F.lit('"'))
-    obj = lambda *fields: F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
-    value = F.when(e % 9 == 0, q("value", S("value"))).otherwise(F.concat(F.lit('"value":'), S("value")))
-    sample = obj(
-        q("metric", F.col("event_type")), value, q("unit", F.lit("ms")),
-        F.when(e % 4 != 0, F.concat(F.lit('"playerCount":'), S(k))), F.concat(F.lit('"at":'), at),
-    )
-    event = obj(
-        F.when(e % 11 != 0, q("kind", F.col("event_type"))),
-        F.when(F.col("event_type") != "view", q("resource", pre("r", k % 5))),
-        q("detail", pre("k=", k)), F.concat(F.lit('"at":'), at),
-    )
     docs = (
         table(spark, sf, "events")
         .select(
-            u, F.floor(F.unix_micros(ts) / 86_400_000_000).cast("bigint").alias("day"),
-            F.floor(e / DOC_EVENTS).cast("bigint").alias("block"), sample.alias("s"), event.alias("v"),
+            "user_id", day_number().alias("day"), F.floor(F.col("event_id") / DOC_EVENTS).cast("bigint").alias("block"),
+            json_sample().alias("s"), json_event().alias("v"),
         )
         .groupBy("user_id", "day", "block")
         .agg(F.collect_list("s").alias("s"), F.collect_list("v").alias("v"))
     )
-    num = lambda name, x: F.concat(F.lit(f'"{name}":'), S(x))
-    dropped = F.concat(F.lit('"dropped":{"samples":'), S(u % 3), F.lit(',"events":'), S(u % 2), F.lit("}"))
-    body = obj(
-        F.when(u % 7 != 1, q("schemaVersion", F.when(u % 7 == 0, "2.0").otherwise("1.0"))),
-        q("collector", F.lit("probe")),
-        F.when(u % 4 != 0, q("collectorVersion", pre("1.", u % 3))),
-        num("writtenAt", F.when(F.col("day") % 5 == 0, F.lit(0)).otherwise(F.col("day") * 86400 + 86399)),
-        num("serverUptimeMs", u * 1000),
-        F.concat(F.lit('"samples":['), F.array_join("s", ","), F.lit("]")),
-        F.concat(F.lit('"events":['), F.array_join("v", ","), F.lit("]")),
-        F.when(u % 5 != 0, dropped),
-    )
+    file = F.concat(F.lit("telemetry-"), S("user_id"), F.lit("-"), S("day"), F.lit("-"), S("block"), F.lit(".json"))
     return docs.select(
-        F.concat(F.lit("telemetry-"), S("user_id"), F.lit("-"), S("day"), F.lit("-"), S("block"), F.lit(".json")).alias("file"),
-        pre("srv", u % 4).alias("server_id"),
-        F.when(u % 7 == 2, F.concat(F.lit("["), body, F.lit("]")))
-        .when(u % 7 == 3, F.concat(F.lit("{"), body))
-        .otherwise(body)
-        .alias("json"),
+        file.alias("file"),
+        pre("srv", F.col("user_id") % 4).alias("server_id"),
+        json_document(F.array_join("s", ","), F.array_join("v", ",")).alias("json"),
+    )
+
+
+def event_documents(events: DataFrame) -> DataFrame:
+    """Each event as a document of its own, delivered under two file names."""
+    return events.withColumn("day", day_number()).select(
+        F.explode(F.array(pre("a", "event_id"), pre("b", "event_id"))).alias("file"),
+        pre("srv", F.col("user_id") % 4).alias("server_id"),
+        json_document(json_sample(), json_event()).alias("json"),
     )
 
 
