@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import finite
 
-# A group with at most this many distinct values is finished by one hash
-# aggregate; larger ones are cut into value ranges first.
-SMALL_GROUP = 200_000
+# A group with at most this many values is finished by one aggregate, which
+# keeps its distinct values in memory; larger ones are cut into value ranges.
+SMALL_GROUP = 1_000_000
 CELLS = 4096
 
 STATS = ["sample_count", "mean", "median", "p95", "min", "max", "standard_deviation", "coefficient_of_variation"]
@@ -27,16 +27,31 @@ def variation(sd: Column, mean: Column) -> Column:
     return F.when(mean == 0, F.lit(0.0)).otherwise(F.try_divide(sd, mean))
 
 
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group: one number, from counts combined map-side."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _fractions(ps: list[float]) -> list[float]:
+    return [min(100.0, max(0.0, p)) / 100.0 for p in ps]
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float]) -> DataFrame:
     """Exact linearly interpolated percentiles: columns `by`, `n`, `p0`, `p1`…
 
-    Rows are first reduced to (group, value, count), which spreads a hot group
-    over all tasks. Groups with few distinct values then need one aggregate.
-    In a hot group only the value ranges that hold a wanted rank are kept: two
-    rounds of 4096 ranges each leave about 1/16,000,000 of the range to sort.
+    The size of the largest group decides the plan. When every group is small,
+    one aggregate does. Otherwise rows are first reduced to (group, value,
+    count), which spreads a hot group over all tasks, and in a hot group only
+    the value ranges that hold a wanted rank are kept: two rounds of 4096
+    ranges each leave about 1/16,000,000 of the value range to sort.
     """
-    ps = [min(100.0, max(0.0, p)) / 100.0 for p in ps]
-    pairs = df.where(finite(value)).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    fractions = _fractions(ps)
+    clean = df.where(finite(value))
+    if largest_group(clean, by) <= SMALL_GROUP:
+        return clean.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in fractions])).alias("_ps")
+        ).select(*by, "n", *[F.element_at("_ps", i + 1).alias(f"p{i}") for i in range(len(ps))])
+    pairs = clean.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     sizes = pairs.groupBy(*by).agg(
         F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
@@ -46,11 +61,11 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float]) -> Da
         .groupBy(*by)
         .agg(
             F.sum("_c").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(p) for p in ps]), F.col("_c")).alias("_ps"),
+            F.percentile("_v", F.array(*[F.lit(p) for p in fractions]), F.col("_c")).alias("_ps"),
         )
         .select(*by, "n", *[F.element_at("_ps", i + 1).alias(f"p{i}") for i in range(len(ps))])
     )
-    return small.unionByName(_hot(sized.where(F.col("_d") > SMALL_GROUP), by, ps))
+    return small.unionByName(_hot(sized.where(F.col("_d") > SMALL_GROUP), by, fractions))
 
 
 def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -124,22 +139,28 @@ def summarize(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The eight statistics per group; a group without a finite value is all zero."""
     m = moments(value)
     v = F.when(finite(value), F.col(value))
-    base = df.groupBy(*by).agg(
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    simple = [
         m["n"].alias("sample_count"),
         m["mean"].alias("mean"),
-        F.coalesce(F.min(v), F.lit(0.0)).alias("min"),
-        F.coalesce(F.max(v), F.lit(0.0)).alias("max"),
+        zero(F.min(v)).alias("min"),
+        zero(F.max(v)).alias("max"),
         m["sd"].alias("standard_deviation"),
-    )
-    ranks = percentiles(df, by, value, [50.0, 95.0]).select(*by, F.col("p0").alias("median"), F.col("p1").alias("p95"))
-    r = ranks.select(*[F.col(b).alias(f"_r{i}") for i, b in enumerate(by)], "median", "p95")
-    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_r{i}")) for i, b in enumerate(by)])
-    return base.join(r, on, "left").select(
+    ]
+    if largest_group(df, by) <= SMALL_GROUP:
+        both = df.groupBy(*by).agg(*simple, F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("_ps"))
+        out = both.withColumn("median", F.element_at("_ps", 1)).withColumn("p95", F.element_at("_ps", 2))
+    else:
+        ranks = percentiles(df, by, value, [50.0, 95.0])
+        r = ranks.select(*[F.col(b).alias(f"_r{i}") for i, b in enumerate(by)], F.col("p0").alias("median"), F.col("p1").alias("p95"))
+        on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_r{i}")) for i, b in enumerate(by)])
+        out = df.groupBy(*by).agg(*simple).join(r, on, "left")
+    return out.select(
         *by,
         "sample_count",
         "mean",
-        F.coalesce("median", F.lit(0.0)).alias("median"),
-        F.coalesce("p95", F.lit(0.0)).alias("p95"),
+        zero(F.col("median")).alias("median"),
+        zero(F.col("p95")).alias("p95"),
         "min",
         "max",
         "standard_deviation",

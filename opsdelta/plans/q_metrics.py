@@ -10,6 +10,7 @@ from ..operators import regression as RG
 from ..operators import stats as ST
 from ..operators.ordered import with_previous
 from ..operators.tables import replace_by_key, upsert
+from ..session import cut_lineage
 from ..sources import inventory as INV
 from ..sources import telemetry as TM
 from . import views as V
@@ -112,7 +113,7 @@ def _day(file):
 
 def ingested(spark, sf):
     """Documents read with a copy of each, after the first days were imported."""
-    d = TM.with_digest(docs(spark, sf))
+    d = cut_lineage(TM.with_digest(docs(spark, sf)))
     read = d.unionByName(d.withColumn("file", F.concat(F.lit("copy-"), "file")))
     known = d.where(_day(F.col("file")) < FIRST_DAYS).select("server_id", "digest")
     return TM.ingest_once(read, known)

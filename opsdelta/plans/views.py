@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sha_id
+from ..session import spread
 
 SPLIT = "1998-06-01"
 
 
+HEAVY = ["documents", "pages", "lineitem", "conversations"]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; those with costly work per row are spread over the cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def S(x) -> Column:
@@ -360,6 +366,22 @@ def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def buffer_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a few full telemetry files, 5000 samples and events in each."""
+    blocks = (
+        table(spark, sf, "events")
+        .select(F.floor(F.col("event_id") / DOC_EVENTS).cast("bigint").alias("block"), json_sample().alias("s"), json_event().alias("v"))
+        .groupBy("block")
+        .agg(F.collect_list("s").alias("s"), F.collect_list("v").alias("v"))
+        .withColumn("user_id", F.lit(4))
+        .withColumn("day", F.col("block"))
+    )
+    return blocks.select(
+        pre("telemetry-", "block").alias("file"), F.lit("srv0").alias("server_id"),
+        json_document(F.array_join("s", ","), F.array_join("v", ",")).alias("json"),
+    )
+
+
 def event_documents(events: DataFrame) -> DataFrame:
     """Each event as a document of its own, delivered under two file names."""
     return events.withColumn("day", day_number()).select(

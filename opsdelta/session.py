@@ -74,3 +74,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks where a scan has fewer splits than the session has cores.
+
+    A file with one row group is one split, so heavy per-row work on it would
+    run in one task. Large tables have splits enough and pass through as is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint, finite, fixed
+from ..session import cut_lineage
 
 HEADER = (
     "struct<schemaVersion:variant,collector:variant,collectorVersion:variant,writtenAt:variant,serverUptimeMs:variant,"
@@ -249,6 +250,15 @@ def ingest_once(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def import_documents(raw: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Parse, digest and judge documents, parsing each text exactly once.
+
+    The parsed documents are written to the shared folder; the decision then
+    reads only three narrow columns of them, and later steps read the rest.
+    """
+    return ingest_once(cut_lineage(with_digest(documents(parse(raw)))), ledger)
+
+
 def ledger_rows(ingested: DataFrame, imported_at: Column) -> DataFrame:
     """Ledger entries of the imported documents; a writer without clock: NULL."""
     return ingested.where(F.col("status") == "IMPORTED").select(

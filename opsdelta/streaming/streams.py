@@ -15,7 +15,7 @@ from ..operators.incidents import SIDE, link_confidence, signal_role
 from ..operators.ordered import with_previous
 from ..operators.stats import variation
 from ..session import staging_path
-from ..sources.telemetry import documents, ingest_once, ledger_rows, parse, with_digest
+from ..sources.telemetry import import_documents, ledger_rows
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -54,9 +54,8 @@ def ingest_stream(raw: DataFrame, ledger_path: str, checkpoint: str, trigger: di
     """
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = with_digest(documents(parse(batch)))
-        ledger = _ledger(spark, ledger_path, number)
-        rows = ledger_rows(ingest_once(fresh, ledger), F.current_timestamp())
+        known = _ledger(spark, ledger_path, number)
+        rows = ledger_rows(import_documents(batch, known), F.current_timestamp())
         rows.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return (
@@ -67,15 +66,12 @@ def ingest_stream(raw: DataFrame, ledger_path: str, checkpoint: str, trigger: di
     )
 
 
-def _ledger(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """(server_id, digest) of earlier batches; of none when there are none."""
-    from pyspark.errors import AnalysisException
-
+def _ledger(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """(server_id, digest) of the batches before `number`."""
     schema = "server_id string, digest string, batch int"
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") < before)
-    except AnalysisException:
+    if number == 0:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") < number)
 
 
 def dedupe(docs: DataFrame, time: str, delay: str) -> DataFrame:
