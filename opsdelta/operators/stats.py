@@ -28,7 +28,14 @@ def variation(sd: Column, mean: Column) -> Column:
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Rows of the largest group: one number, from counts combined map-side."""
+    """A bound on the rows of the largest group; the driver reads one number.
+
+    The table's row count, which Parquet footers tell, already settles small
+    tables. Otherwise it takes a count per group, combined map-side.
+    """
+    total = df.count()
+    if total <= SMALL_GROUP:
+        return total
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
@@ -47,7 +54,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float]) -> Da
     """
     fractions = _fractions(ps)
     clean = df.where(finite(value))
-    if largest_group(clean, by) <= SMALL_GROUP:
+    if largest_group(df, by) <= SMALL_GROUP:
         return clean.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in fractions])).alias("_ps")
         ).select(*by, "n", *[F.element_at("_ps", i + 1).alias(f"p{i}") for i in range(len(ps))])

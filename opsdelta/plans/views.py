@@ -17,7 +17,7 @@ from ..session import spread
 SPLIT = "1998-06-01"
 
 
-HEAVY = ["documents", "pages", "lineitem", "conversations"]
+HEAVY = ["documents", "pages"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
