@@ -144,11 +144,12 @@ SERVER_SCOPE = "(server)"
 MASK = "********"
 NB = r"(?<![A-Za-z0-9_])"
 NA = r"(?![A-Za-z0-9_])"
-SENSITIVE_KEY = (
-    "(?:[A-Za-z0-9]{1,32}[_.-]?)?"
+KEY_PREFIX = "(?:[A-Za-z0-9]{1,32}[_.-]?)?"
+SENSITIVE_NAME = (
     "(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?token"
     "|authorization|credential|licen[cs]e[_-]?key|webhook[_-]?url|connection[_-]?string|db[_-]?pass)"
 )
+SENSITIVE_KEY = KEY_PREFIX + SENSITIVE_NAME
 REDACTIONS = [
     # (name, pattern, replacement)
     (
@@ -163,10 +164,15 @@ REDACTIONS = [
         r"-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----",
         f"-----BEGIN PRIVATE KEY-----{MASK}-----END PRIVATE KEY-----",
     ),
-    ("uri-credentials", r"""(?i)([a-z][a-z0-9+.-]*://[^\s:/@"']+):([^\s@"'/]+)@""", f"$1:{MASK}@"),
+    # starts only where a run of scheme characters starts, so long runs cost one pass
+    (
+        "uri-credentials",
+        r"""(?i)((?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s:/@"']+):([^\s@"'/]+)@""",
+        f"$1:{MASK}@",
+    ),
     (
         "authorization-header",
-        r"""(?i)(authorization\s*[:=]\s*["']?\s*(?:bearer|basic|token)\s+)([\w.~+/=-]{8,})""",
+        r"""(?i)(authorization\s*+[:=]\s*+["']?\s*+(?:bearer|basic|token)\s++)([\w.~+/=-]{8,})""",
         "$1" + MASK,
     ),
     ("jwt", NB + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + r"(?<=[A-Za-z0-9_])" + NA, MASK),
@@ -177,7 +183,8 @@ REDACTIONS = [
     ),
     (
         "sensitive-assignment",
-        "(?i)([\"'`]?" + SENSITIVE_KEY + "[\"'`]?\\s*(?:=|:|=>)\\s*)([\"'`])([^\"'`\\n]{1,512})(\\2)",
+        # what precedes the name is kept as it is, so the match may start at the name
+        "(?i)(" + SENSITIVE_NAME + "[\"'`]?\\s*+(?:=>|=|:)\\s*+)([\"'`])([^\"'`\\n]{1,512})(\\2)",
         f"$1$2{MASK}$2",
     ),
     (

@@ -17,7 +17,7 @@ def config_directives(texts: DataFrame) -> DataFrame:
     `texts` is (file, text). A line is cut into words; quotes group words and
     `#` or `//` outside quotes starts a comment.
     """
-    word = r"""(?:"[^"\n]*"|'[^'\n]*'|[^\s"'#/]|/(?!/))+"""
+    word = r"""(?:"[^"\n]*"|'[^'\n]*'|[^\s"'#/]++|/(?!/))+"""
     line = F.col("content")
     head = F.regexp_extract(line, rf"^\s*((?:{word}\s*)*)", 1)
     words = F.transform(F.regexp_extract_all(head, F.lit(f"({word})")), lambda w: F.regexp_replace(w, "[\"']", ""))

@@ -57,8 +57,8 @@ SECRET_PATTERNS = [
     ("PRIVATE_KEY", r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----)", 1, 0.9),
     ("JWT", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0.9),
     ("DISCORD_BOT_TOKEN", r"([A-Za-z0-9_-]{23,28}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,40})", 1, 0.9),
-    ("URI_CREDENTIALS", r"""(?i)[a-z][a-z0-9+.-]*://[^\s:/@"']+:([^\s@"'/]+)@""", 1, 0.9),
-    ("AUTHORIZATION_HEADER", r"""(?i)authorization\s*[:=]\s*["']?\s*(?:bearer|basic|token)\s+([\w.~+/=-]{8,})""", 1, 0.9),
+    ("URI_CREDENTIALS", r"""(?i)(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s:/@"']+:([^\s@"'/]+)@""", 1, 0.9),
+    ("AUTHORIZATION_HEADER", r"""(?i)authorization\s*+[:=]\s*+["']?\s*+(?:bearer|basic|token)\s++([\w.~+/=-]{8,})""", 1, 0.9),
     ("GENERIC_WEBHOOK", r"""(?i)(https?://[^\s"'`]*/webhooks?/[A-Za-z0-9_\-/]{16,})""", 1, 0.9),
     ("LICENCE_KEY", r"(?i)licen[cs]e[_-]?key" + _Q + _V, 1, 0.7),
     ("PASSWORD", r"(?i)(?:password|passwd|pwd|db[_-]?pass)" + _Q + _V, 1, 0.7),
@@ -233,7 +233,8 @@ def obfuscation_score(features: DataFrame, encoded_ratio: float = 0.25, min_stri
     )
 
 
-CALL = r"([A-Za-z_][A-Za-z0-9_.:]*)\(([^()]*)\)"
+# starts only where a run of name characters starts, so long runs cost one pass
+CALL = r"(?<![A-Za-z0-9_.:])[0-9.:]*+([A-Za-z_][A-Za-z0-9_.:]*+)\(([^()]*)\)"
 CALL_SCHEMA = "line bigint, name string, args string"
 
 
@@ -258,7 +259,7 @@ def call_sites(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if t is None:
                     continue
                 breaks = [m.start() for m in re.finditer("\n", t)]
-                rows += [(k, bisect_right(breaks, m.start()) + 1, m.group(1), m.group(2)) for m in pattern.finditer(t)]
+                rows += [(k, bisect_right(breaks, m.start(1)) + 1, m.group(1), m.group(2)) for m in pattern.finditer(t)]
             yield pd.DataFrame(rows, columns=[key, "line", "name", "args"])
 
     raw = docs.select(key, text).mapInPandas(scan, f"{key} {key_type}, {CALL_SCHEMA}")

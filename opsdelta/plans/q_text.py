@@ -33,7 +33,7 @@ def _redact_sql(expr: str) -> str:
         elif name == "sensitive-assignment-unquoted":
             steps.append((f"(?i)(\\b{_KEY}\\s*(?:=|:)\\s*)([^\\s\"'`;,)=>][^\\s\"'`;,)]{{0,511}})", r))
         else:
-            p = pattern.replace(fixed.NB, r"\b").replace("(?<=[A-Za-z0-9_])" + fixed.NA, r"\b").replace("(?=[A-Za-z0-9_])", "")
+            p = pattern.replace("(?<![a-z0-9+.-])[0-9+.-]*+", "").replace("*+", "*").replace("++", "+").replace(fixed.NB, r"\b").replace("(?<=[A-Za-z0-9_])" + fixed.NA, r"\b").replace("(?=[A-Za-z0-9_])", "")
             steps.append((p, r))
     for p, r in steps:
         expr = f"regexp_replace({expr}, {_q(p)}, {_q(r)}, 'g')"
