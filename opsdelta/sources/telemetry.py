@@ -253,8 +253,9 @@ def ingest_once(docs: DataFrame, ledger: DataFrame) -> DataFrame:
 def import_documents(raw: DataFrame, ledger: DataFrame) -> DataFrame:
     """Parse, digest and judge documents, parsing each text exactly once.
 
-    The parsed documents are written to the shared folder; the decision then
-    reads only three narrow columns of them, and later steps read the rest.
+    The parsed documents are written to the shared folder first. Finding the
+    first copy of each digest then aggregates three narrow columns of that
+    table, and its small result is joined back to mark the documents.
     """
     return ingest_once(cut_lineage(with_digest(documents(parse(raw)))), ledger)
 
