@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opsdelta.llm import exact_dedup as dedup
-from opsdelta.llm.common import documents, staged
+from opsdelta.llm.common import documents, staged, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with identical texts the one with the largest doc_id stays."""
-    kept = dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return without(docs, dedup.exact_dedup(docs).where("not kept")).select(COLUMNS)
 
 
 STAGES = [

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +25,42 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session, the way Spark distributes code."""
+    context = spark.sparkContext
+    if getattr(context, "_opsdelta_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-code-"), "opsdelta.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for base, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(base, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)  # the driver serves it to every executor
+    context._opsdelta_shipped = True
+
+
+def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """`mapInArrow` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`docs` less the rows whose id is in `dropped`.
+
+    A filter of fixed size settles most rows in place; only those it cannot settle
+    are shuffled to be compared with the ids themselves. A null id is never dropped.
+    """
+    ids = dropped.select(F.col(id_col).alias("dropped_id")).distinct()
+    marked = filtered(docs, F.col(id_col), key_filter(ids, F.col("dropped_id")))
+    kept = marked.where(~F.col("passes"))
+    unsure = marked.where("passes").join(ids, F.col(id_col) == F.col("dropped_id"), "left_anti")
+    return kept.unionByName(unsure).select(docs.columns)
+
+
 def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     """Write to the shared folder and read back: survives lost executors, computed once."""
     path = staging_path(df.sparkSession, name)

@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
 QUERIES = {
+    "op8_decontaminate": decontaminate.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
+    "op8_decontaminate": decontaminate.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
