@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, license_scan, secret_scan
 
 QUERIES = {
+    "op7_secret_scan": secret_scan.query,
     "op8_decontaminate": decontaminate.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_license_scan": license_scan.query,
 }
 ORACLES = {
     "op8_decontaminate": decontaminate.SQL,
