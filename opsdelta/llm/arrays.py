@@ -36,10 +36,10 @@ class Words(NamedTuple):
 
 
 def slices(column: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, bytes, offsets) of consecutive rows; a null is an empty text."""
+    """(lo, hi, bytes, offsets) of consecutive rows of text or binary; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if not n:
         return
