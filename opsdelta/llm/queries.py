@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, license_scan, secret_scan, token_files
+from . import decontaminate, exact_dedup, license_scan, pieces, secret_scan, token_files
 
 QUERIES = {
+    "op3_sentence_pieces": pieces.query,
     "op6_token_files": token_files.query,
     "op7_secret_scan": secret_scan.query,
     "op8_decontaminate": decontaminate.query,
