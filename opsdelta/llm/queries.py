@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, language, license_scan, pieces, secret_scan, token_files
+from . import decontaminate, exact_dedup, language, license_scan, pieces, quality, secret_scan, token_files
 
 QUERIES = {
+    "op4_quality": quality.query,
     "op1_language": language.query,
     "op3_sentence_pieces": pieces.query,
     "op6_token_files": token_files.query,
