@@ -38,7 +38,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     open_rows = filtered(base.select("doc_id", "text", length, head), F.struct("n_bytes", "head"), by_head)
     full = F.sha2("text", 256)
     hashed = staged(
-        open_rows.select("doc_id", "n_bytes", "head", "passes", (full if digest_all else F.when("passes", full)).alias("text_sha256")),
+        open_rows.select("doc_id", "n_bytes", "head", "passes", (full if digest_all else F.when(F.col("passes"), full)).alias("text_sha256")),
         "exact-dedup",
     )
     groups = (

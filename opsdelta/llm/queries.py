@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, language, license_scan, pieces, quality, secret_scan, token_files, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, language, license_scan, pieces, quality, secret_scan, token_files, toxicity
 
 QUERIES = {
+    "op5_jaccard_join": jaccard_join.query,
     "op2_toxicity": toxicity.query,
     "op4_quality": quality.query,
     "op1_language": language.query,
