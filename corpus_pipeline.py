@@ -1,23 +1,60 @@
-"""A training-corpus pipeline: each stage works on all that its predecessor kept."""
+"""A training-corpus pipeline: each stage works on all that its predecessor kept.
+
+Documents are known by their doc_id: a decision on an id holds for all its rows, and
+rows with a null id are never dropped. All stages but the last return the columns
+they were given; the last returns each document's token ids and their digests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsdelta.llm import exact_dedup as dedup
+from opsdelta.llm import decontaminate as clean
+from opsdelta.llm import exact_dedup as exact
+from opsdelta.llm import jaccard_join as near
+from opsdelta.llm import language, pieces
 from opsdelta.llm.common import documents, staged, without
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text is rejected if no language holds this share of its words.
+SURE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language, or without one that prevails, go."""
+    found = language.predict(docs, language.fitted(docs), with_spans=False)
+    return without(docs, found.where((found["lang_pred"] == "und") | (found["score"] < SURE)))
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with identical texts the one with the largest doc_id stays."""
-    return without(docs, dedup.exact_dedup(docs).where("not kept")).select(COLUMNS)
+    return without(docs, exact.exact_dedup(docs).where("not kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by near-identical texts the one with the least doc_id stays."""
+    return without(docs, near.jaccard_join(docs)[0].where("doc_id != class_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with too large a share of benchmark passages go."""
+    return without(docs, clean.decontaminate(docs, documents(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256, covered_bytes) of every document left."""
+    from public_tokenizers import path
+
+    return pieces.digests(docs, path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
-    ("exact dedup", exact_copies),
+    ("language id", identify),
+    ("exact dedup", drop_copies),
+    ("near-duplicate join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("sentencepiece encoding", tokenise),
 ]
+#: Language models and similarity groups are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 

@@ -197,17 +197,17 @@ def _encoded(path: str):
     return run
 
 
-def _digests(path: str):
+def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch, lo, hi, texts in _parts(batches):
-            rows = [(len(i) // 4, sha(i), sha(d.encode()), int((b[1:] - b[:-1]).sum())) for i, b, d in model.encode(texts)]
-            n, ids, decoded, covered = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(covered, pa.int64())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"],
-            )
+            rows = [(i, len(i) // 4, sha(i), sha(d.encode()), int((b[1:] - b[:-1]).sum())) for i, b, d in model.encode(texts)]
+            raw, n, ids, decoded, covered = zip(*rows)
+            out = [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(covered, pa.int64())]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "ids"][: len(out)])
 
     return run
 
@@ -229,11 +229,11 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     return in_arrow(docs, _encoded(model), f"doc_id {kind}, ids array<long>, begins array<long>, ends array<long>, decoded string")
 
 
-def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes) of the same, made where the pieces are."""
+def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes[, ids]) of the same, made where the pieces are."""
     docs = narrow(df, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_arrow(docs, _digests(model), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return in_arrow(docs, _digests(model, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long{', ids array<int>' if with_ids else ''}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
