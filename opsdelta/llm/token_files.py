@@ -47,7 +47,7 @@ STRIDE, BLOCK, BUCKET = 256, 1 << 16, 1 << 22
 #: Buckets at most: their sizes are the only thing that travels to the driver.
 MOST_BUCKETS = 20_000
 
-CACHED = 600_000
+CACHED = 1_000_000
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _LETTERS = re.compile(r"[^\W\d_]+|(?:[\W\d_](?<![ \n]))+")
 _CHUNKS = re.compile(r"[^ \n]+")
@@ -61,12 +61,31 @@ def word_tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _kept[key] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _kept[key]
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        _kept[key] = (tokenizer, ends, {})
+    tokenizer, ends, cache = _kept[key]
 
     def ids(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word_ids(found: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Runs of letters go to the library by the hundred: the last piece of each is marked as an end."""
+        plain = [p for p in found if p.isalpha()]
+        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            got = np.array(e.ids, dtype="<u4")
+            last = np.flatnonzero(ends[got]) + 1
+            if len(last) == len(group):
+                raw = got.tobytes()
+                yield from zip(group, [raw[4 * a : 4 * b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())])
+            else:
+                yield from zip(group, ids(group))
+        rest = [p for p in found if not p.isalpha()]
+        yield from zip(rest, ids(rest))
+
     def cut(text: str) -> list[str]:
         if not unicodedata.is_normalized("NFC", text) or _SPECIAL.search(text):
             return [text]
@@ -83,7 +102,7 @@ def word_tokenizer(path: str):
         if sum(map(len, new)) > 1 << 23:  # very long pieces are not worth keeping
             local = dict(cache)
         for i in range(0, len(new), 20_000):
-            local.update(zip(new[i : i + 20_000], ids(new[i : i + 20_000])))
+            local.update(word_ids(new[i : i + 20_000]))
         return [b"".join([local[p] for p in ps]) for ps in pieces]
 
     return encode
