@@ -141,10 +141,12 @@ SERVER_SCOPE = "(server)"
 
 # Redaction mask and patterns. `NB` and `NA` stand for the ASCII
 # word boundary, spelled out because Java's \b also counts accented letters.
+# Values and key prefixes of any length are masked whole: a bound would leave
+# the rest of a long secret readable.
 MASK = "********"
 NB = r"(?<![A-Za-z0-9_])"
 NA = r"(?![A-Za-z0-9_])"
-KEY_PREFIX = "(?:[A-Za-z0-9]{1,32}[_.-]?)?"
+KEY_PREFIX = "(?:[A-Za-z0-9]+[_.-]?)?"
 SENSITIVE_NAME = (
     "(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?token"
     "|authorization|credential|licen[cs]e[_-]?key|webhook[_-]?url|connection[_-]?string|db[_-]?pass)"
@@ -184,12 +186,12 @@ REDACTIONS = [
     (
         "sensitive-assignment",
         # what precedes the name is kept as it is, so the match may start at the name
-        "(?i)(" + SENSITIVE_NAME + "[\"'`]?\\s*+(?:=>|=|:)\\s*+)([\"'`])([^\"'`\\n]{1,512})(\\2)",
+        "(?i)(" + SENSITIVE_NAME + "[\"'`]?\\s*+(?:=>|=|:)\\s*+)([\"'`])([^\"'`\\n]++)(\\2)",
         f"$1$2{MASK}$2",
     ),
     (
         "sensitive-assignment-unquoted",
-        "(?i)(" + NB + SENSITIVE_KEY + "\\s*(?:=|:)(?![=>])\\s*)([^\\s\"'`;,)]{1,512})",
+        "(?i)(" + NB + SENSITIVE_KEY + "\\s*(?:=|:)(?![=>])\\s*)([^\\s\"'`;,)]++)",
         "$1" + MASK,
     ),
 ]

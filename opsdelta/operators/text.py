@@ -51,7 +51,7 @@ def redact_map(m: str | Column) -> Column:
 # (kind, pattern, group that holds the value, confidence).
 # Fixed values:
 _Q = r"""\s*(?:=>|=|:)\s*["'`]"""
-_V = r"""([^"'`\n]{4,512})["'`]"""
+_V = r"""([^"'`\n]{4,}+)["'`]"""
 SECRET_PATTERNS = [
     ("DISCORD_WEBHOOK", r"(?i)(https?://(?:[a-z0-9-]+\.)?discord(?:app)?\.com/api/(?:v\d+/)?webhooks/[\w-]+/[\w-]+)", 1, 0.9),
     ("PRIVATE_KEY", r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----)", 1, 0.9),
@@ -74,8 +74,8 @@ LOW_VARIETY_PENALTY = 0.2
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per secret: kind, line, column, confidence, masked value, excerpt.
 
-    The raw value never leaves the function. Where matches overlap, the most
-    specific kind stays. All of it happens inside one line's row: no shuffle.
+    The raw value never leaves the function. Matches are taken in the order of
+    their kinds; one that overlaps a match taken before is dropped. All of it happens inside one line's row: no shuffle.
     """
     from ..functions import mask_secret
 
@@ -85,16 +85,16 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .where(F.col("_line").rlike(MAYBE_SECRET))
     )
     found = F.concat(*[_matches(rank, *p) for rank, p in enumerate(SECRET_PATTERNS)])
-    rows = rows.withColumn("_all", found).withColumn(
+    rows = rows.withColumn("_all", F.array_sort(found))  # by rank
+    clear = lambda kept, m: ~F.exists(kept, lambda o: (o["lo"] < m["hi"]) & (m["lo"] < o["hi"]))
+    rows = rows.withColumn(
         "_kept",
-        F.filter(
-            "_all",
-            lambda m: ~F.exists(
-                "_all", lambda o: (o["rank"] < m["rank"]) & (o["lo"] < m["hi"]) & (m["lo"] < o["hi"])
-            ),
-        ),
+        F.aggregate("_all", F.filter("_all", lambda m: F.lit(False)), lambda kept, m: F.when(clear(kept, m), F.array_append(kept, m)).otherwise(kept)),
     )
-    hits = rows.where(F.size("_kept") > 0).select(key, "_pos", F.explode("_kept").alias("m"), F.col("_line"))
+    # every value found in the line is masked in its excerpt, also those of dropped matches, longest first
+    values = F.array_sort(F.array_distinct(F.transform("_all", lambda m: F.struct((-F.length(m["value"])).alias("n"), m["value"].alias("value")))))
+    masked = F.aggregate(values, F.col("_line"), lambda line, v: F.replace(line, v["value"], F.lit(fixed.MASK)))
+    hits = rows.where(F.size("_kept") > 0).select(key, "_pos", F.explode("_kept").alias("m"), masked.alias("_line"))
     value = F.col("m.value")
     variety = F.size(F.array_distinct(F.split(value, "")))
     confidence = F.when(value.rlike(PLACEHOLDER), F.lit(PLACEHOLDER_CONFIDENCE)).otherwise(

@@ -29,9 +29,9 @@ def _redact_sql(expr: str) -> str:
         r = replacement.replace("$1", "\\1").replace("$2", "\\2")
         if name == "sensitive-assignment":
             for quote in "\"'`":
-                steps.append((f"(?i)([\"'`]?{_KEY}[\"'`]?\\s*(?:=|:|=>)\\s*){quote}[^\"'`\\n]{{1,512}}{quote}", f"\\1{quote}{fixed.MASK}{quote}"))
+                steps.append((f"(?i)([\"'`]?{_KEY}[\"'`]?\\s*(?:=|:|=>)\\s*){quote}[^\"'`\\n]+{quote}", f"\\1{quote}{fixed.MASK}{quote}"))
         elif name == "sensitive-assignment-unquoted":
-            steps.append((f"(?i)(\\b{_KEY}\\s*(?:=|:)\\s*)([^\\s\"'`;,)=>][^\\s\"'`;,)]{{0,511}})", r))
+            steps.append((f"(?i)(\\b{_KEY}\\s*(?:=|:)\\s*)([^\\s\"'`;,)=>][^\\s\"'`;,)]*)", r))
         else:
             p = pattern.replace("(?<![a-z0-9+.-])[0-9+.-]*+", "").replace("*+", "*").replace("++", "+").replace(fixed.NB, r"\b").replace("(?<=[A-Za-z0-9_])" + fixed.NA, r"\b").replace("(?=[A-Za-z0-9_])", "")
             steps.append((p, r))
@@ -50,7 +50,7 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", TX.contains_secret("text").alias("has_secret"))
 
 
-KEYED = r"""(?i)(?:api[_-]?key|access[_-]?key|auth[_-]?token|secret|token)\s*(?:=>|=|:)\s*["''`]([^"''`\n]{4,512})["''`]"""
+KEYED = r"""(?i)(?:api[_-]?key|access[_-]?key|auth[_-]?token|secret|token)\s*(?:=>|=|:)\s*["''`]([^"''`\n]{4,})["''`]"""
 
 
 @query(
@@ -83,6 +83,45 @@ def _(spark, sf):
     return TX.secret_findings(TX.scan_secrets(turns))
 
 
+# Secrets of every kind, planted in a last line of the documents; built from parts here,
+# so that none stands in this file. (kind, text before, value, text after, confidence)
+_H = "md5('k' || doc_id)"
+PLANTED = [
+    ("DISCORD_WEBHOOK", "hook ", f"'https://dis' || 'cord.com/api/webhooks/123/' || {_H}", " here", 0.9),
+    ("PRIVATE_KEY", "", "'-----BEGIN ' || 'PRIVATE KEY-----'", "", 0.9),
+    ("JWT", "jwt é ", f"'ey' || 'J' || {_H} || '.' || {_H} || '.' || {_H}", ".", 0.9),
+    ("DISCORD_BOT_TOKEN", "bot: ", f"substr({_H}, 1, 24) || '.' || substr({_H}, 1, 6) || '.' || {_H}", "!", 0.9),
+    ("URI_CREDENTIALS", "mysql://joe:", _H, "@host/db", 0.9),
+    ("AUTHORIZATION_HEADER", "authorization: bearer ", _H, "", 0.9),
+    ("GENERIC_WEBHOOK", "", f"'https://a.b/web' || 'hooks/' || {_H}", " x", 0.9),
+    ("LICENCE_KEY", "license_key = \"", f"repeat({_H}, 20)", "\"", 0.7),
+    ("PASSWORD", "the password: \"", f"repeat({_H}, 3)", "\" and", 0.7),
+    ("API_KEY", "api_key => \"", _H, "\"", 0.7),
+]
+
+
+def _case(expr) -> str:
+    return "case doc_id % 10 " + " ".join(f"when {i} then {expr(p)}" for i, p in enumerate(PLANTED)) + " end"
+
+
+_PLANTED_LINE = _case(lambda p: f"'{p[1]}' || {p[2]} || '{p[3]}'")
+_PLANTED_VALUE = _case(lambda p: p[2])
+
+
+@query(
+    "scan_secret_kinds",
+    f"""select doc_id, {_case(lambda p: f"'{p[0]}'")} as kind, 1::BIGINT as line, {_case(lambda p: f"{p[4]}::DOUBLE")} as confidence,
+    substr(v, 1, least(4, length(v) // 4)) || '{fixed.MASK}' as masked_value, false as leaks
+    from (select doc_id, {_PLANTED_VALUE} as v from documents)""",
+)
+def _(spark, sf):
+    """A line with a secret in front of each document; `leaks` if a planted value is in any column."""
+    docs = V.table(spark, sf, "documents").select("doc_id", F.concat_ws("\n", F.expr(_PLANTED_LINE), "text").alias("text"))
+    found = TX.scan_secrets(docs).where("line = 1")
+    value = F.expr(_PLANTED_VALUE)
+    return found.select("doc_id", "kind", "line", "confidence", "masked_value", (F.contains("redacted_excerpt", value) | F.contains("masked_value", value)).alias("leaks"))
+
+
 @query(
     "mask_tokens",
     f"""select doc_id, substr(w, 1, least(4, length(w) // 4)) || '{fixed.MASK}' as masked, count(*) as n

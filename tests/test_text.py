@@ -65,6 +65,25 @@ def test_secret_scan(spark):
     assert {r["severity"] for r in found if r["line"] == 4} == {"LOW"} and {r["rule_id"] for r in found if r["line"] == 3} == {"SEC-WEBHOOK-001"}
 
 
+def test_long_values_are_found_and_masked_whole(spark):
+    long = BLOB * 20
+    for text in ("pass" + "word = '" + long + "'", "tok" + "en=" + long, "x" * 50 + "_tok" + "en=" + long, "a pass" + 'word: "' + long + '" b'):
+        assert BLOB[-8:] not in redact(spark, text) and MASK in redact(spark, text)
+    rows = TX.scan_secrets(spark.createDataFrame([(1, "pass" + "word = '" + long + "'")], "doc_id long, text string")).collect()
+    assert [(r["kind"], r["column"]) for r in rows] == [("PASSWORD", 1)]
+
+
+def test_excerpts_hold_no_value_and_overlaps_go_by_rank(spark):
+    lines = [
+        "run_" + BOT, "x" + JWT, "sec" + "ret = '" + "q" * 700 + "' pass" + "word='short1'",
+        "licen" + "se_key = '" + JWT + " pass" + "word=' tok" + "en='zzzz9999'",
+    ]
+    rows = TX.scan_secrets(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    shown = {i: "".join(r["masked_value"] + r["redacted_excerpt"] for r in rows if r["doc_id"] == i) for i in range(4)}
+    assert BOT not in shown[0] and JWT not in shown[1] and "q" * 20 not in shown[2] and "short1" not in shown[2] and "zzzz9999" not in shown[3] and BLOB not in shown[3]
+    assert {r["kind"] for r in rows if r["doc_id"] == 3} == {"JWT", "PASSWORD"}
+
+
 def score(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     return TX.obfuscation_score(TX.obfuscation_features(df)).first()
