@@ -17,9 +17,14 @@ def col(c: str | Column) -> Column:
 
 
 def js_round(x: str | Column, digits: int = 0) -> Column:
-    """Half up toward +infinity on the binary double; not `round()`."""
+    """Half up toward +infinity on the binary double; not `round()`.
+
+    From 2^52 on a scaled double has no fraction to round, and floor's BIGINT would
+    end at 2^63; such values, infinities and NaN stay as they are.
+    """
     k = float(10**digits)
-    return F.floor(col(x).cast("double") * k + F.lit(0.5)) / F.lit(k)
+    v = col(x).cast("double")
+    return F.when(F.abs(v * k) < float(1 << 52), F.floor(v * k + F.lit(0.5)) / F.lit(k)).otherwise(v)
 
 
 def r6(x: str | Column) -> Column:
@@ -28,7 +33,8 @@ def r6(x: str | Column) -> Column:
 
 def fixed_text(x: str | Column, digits: int) -> Column:
     """A number with exactly `digits` decimals, rounded as `js_round` does."""
-    return js_round(x, digits).cast(f"decimal(28,{digits})").cast("string")
+    rounded = js_round(x, digits)
+    return F.coalesce(rounded.try_cast(f"decimal(28,{digits})").cast("string"), rounded.cast("string"))
 
 
 def iso(ts: str | Column) -> Column:

@@ -183,8 +183,7 @@ def _(spark, sf):
     from ({SUMMARY}) s""",
 )
 def _(spark, sf):
-    p = parsed(spark, sf)
-    return _iso_range(TM.performance_section(TM.documents(p), TM.problems(p)))
+    return _iso_range(TM.performance_section(parsed(spark, sf)))
 
 
 @query(

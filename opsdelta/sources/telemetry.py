@@ -79,7 +79,7 @@ def parse(docs: DataFrame) -> DataFrame:
             .when(~version.isin(fixed.TELEMETRY_VERSIONS), F.concat(F.lit("unsupported schemaVersion "), version))
         )
         lost_s, lost_e = _number(h["dropped"]["samples"]), _number(h["dropped"]["events"])
-        count = lambda mine, other: F.when(other.isNotNull(), F.coalesce(mine, F.lit(0.0))).otherwise(F.lit(0.0)).cast("bigint")
+        count = lambda mine, other: F.when(other.isNotNull(), F.coalesce(mine, F.lit(0.0))).otherwise(F.lit(0.0)).try_cast("bigint")
         return F.struct(
             reason.alias("reason"),
             version.alias("schema_version"),
@@ -130,7 +130,8 @@ def source_label() -> Column:
 
 
 def seconds_to_timestamp(seconds: Column) -> Column:
-    return F.timestamp_micros(F.floor(seconds * 1e6 + 0.5).cast("bigint"))
+    """NULL for a number that is no time a timestamp can hold."""
+    return F.when(F.abs(seconds) < 9e12, F.timestamp_micros(F.floor(seconds * 1e6 + 0.5).cast("bigint")))
 
 
 def stored_samples(docs: DataFrame, keep: list[str] = ["server_id"]) -> DataFrame:
@@ -141,7 +142,7 @@ def stored_samples(docs: DataFrame, keep: list[str] = ["server_id"]) -> DataFram
         "metric",
         "value",
         "unit",
-        F.col("player_count").cast("bigint").alias("player_count"),
+        F.col("player_count").try_cast("bigint").alias("player_count"),
         seconds_to_timestamp(F.col("at")).alias("sampled_at"),
         "source",
     )
@@ -153,7 +154,7 @@ def stored_events(docs: DataFrame, keep: list[str] = ["server_id"]) -> DataFrame
         "kind",
         "resource",
         "detail",
-        F.col("player_count").cast("bigint").alias("player_count"),
+        F.col("player_count").try_cast("bigint").alias("player_count"),
         seconds_to_timestamp(F.col("at")).alias("observed_at"),
         "source",
     )
@@ -165,17 +166,26 @@ def summary(docs: DataFrame) -> DataFrame:
     Ranges are folded inside each document, so nothing is exploded or shuffled
     but one row per task. No times: NULL, not zero.
     """
-    at = F.concat(F.transform("samples", lambda s: s["at"]), F.transform("events", lambda e: e["at"]))
-    zero = F.lit(0).cast("bigint")
-    return docs.agg(
-        F.count(F.lit(1)).alias("document_count"),
-        F.coalesce(F.sum(F.size("samples").cast("bigint")), zero).alias("sample_count"),
-        F.coalesce(F.sum(F.size("events").cast("bigint")), zero).alias("event_count"),
-        F.min(F.array_min(at)).alias("_lo"),
-        F.max(F.array_max(at)).alias("_hi"),
-        F.coalesce(F.sum("dropped_samples"), zero).alias("dropped_samples"),
-        F.coalesce(F.sum("dropped_events"), zero).alias("dropped_events"),
-    ).select(
+    return _summary(docs.agg(*_totals(F.lit(True))))
+
+
+def _totals(good: Column) -> list[Column]:
+    """The aggregates of `summary` over the documents that are `good`."""
+    total = lambda c: F.coalesce(F.sum(F.when(good, c)), F.lit(0).cast("bigint"))
+    times = lambda f, g: g(f("samples.at"), f("events.at"))
+    return [
+        F.count_if(good).alias("document_count"),
+        total(F.size("samples").cast("bigint")).alias("sample_count"),
+        total(F.size("events").cast("bigint")).alias("event_count"),
+        F.min(F.when(good, times(F.array_min, F.least))).alias("_lo"),
+        F.max(F.when(good, times(F.array_max, F.greatest))).alias("_hi"),
+        total(F.col("dropped_samples")).alias("dropped_samples"),
+        total(F.col("dropped_events")).alias("dropped_events"),
+    ]
+
+
+def _summary(totals: DataFrame, *more: str) -> DataFrame:
+    return totals.select(
         "document_count",
         "sample_count",
         "event_count",
@@ -183,6 +193,7 @@ def summary(docs: DataFrame) -> DataFrame:
         seconds_to_timestamp(F.col("_hi")).alias("latest"),
         "dropped_samples",
         "dropped_events",
+        *more,
     )
 
 
@@ -199,7 +210,8 @@ def observed_names(docs: DataFrame) -> DataFrame:
 
 
 def _digits(x: Column) -> Column:
-    return x.cast("decimal(38,6)").cast("string")
+    """Six decimals; a number too large for that in its own text."""
+    return F.coalesce(x.try_cast("decimal(38,6)").cast("string"), x.cast("string"))
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -251,13 +263,21 @@ def ingest_once(docs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def import_documents(raw: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Parse, digest and judge documents, parsing each text exactly once.
+    """Parse, digest and judge documents, parsing each new text exactly once.
 
-    The parsed documents are written to the shared folder first. Finding the
-    first copy of each digest then aggregates three narrow columns of that
-    table, and its small result is joined back to mark the documents.
+    Texts whose bytes the ledger knows (`raw_digest`) are settled before parsing;
+    they come back with their status and without content. The others are parsed and
+    written to the shared folder, and the first copy of each digest is found on three
+    narrow columns of that table.
     """
-    return ingest_once(cut_lineage(with_digest(documents(parse(raw)))), ledger)
+    raw = raw.withColumn("raw_digest", F.sha2("json", 256))
+    if "raw_digest" not in ledger.columns:
+        return ingest_once(cut_lineage(with_digest(documents(parse(raw)))), ledger)
+    known = ledger.where("raw_digest is not null").select("server_id", "raw_digest").distinct()
+    keys = ["server_id", "raw_digest"]
+    new = ingest_once(cut_lineage(with_digest(documents(parse(raw.join(known, keys, "left_anti"))))), ledger)
+    seen = raw.drop("json").join(known, keys, "left_semi").withColumn("status", F.lit("ALREADY_IMPORTED"))
+    return new.unionByName(seen, allowMissingColumns=True)
 
 
 def ledger_rows(ingested: DataFrame, imported_at: Column) -> DataFrame:
@@ -275,6 +295,7 @@ def ledger_rows(ingested: DataFrame, imported_at: Column) -> DataFrame:
         "dropped_events",
         F.when(F.col("written_at") > 0, seconds_to_timestamp(F.col("written_at"))).alias("written_at"),
         imported_at.alias("imported_at"),
+        *[c for c in ("raw_digest",) if c in ingested.columns],
     )
 
 
@@ -327,8 +348,11 @@ def load_samples(
     return out
 
 
-def performance_section(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The summary with what could not be read; `collected` means any sample."""
-    unreadable = bad.agg(F.count(F.lit(1)).alias("unreadable_documents"))
-    # both sides are one-row aggregates
-    return summary(docs).join(F.broadcast(unreadable)).withColumn("collected", F.col("sample_count") > 0)
+def performance_section(parsed: DataFrame) -> DataFrame:
+    """The summary with the number of documents that could not be read, in one pass.
+
+    `collected` means any sample. The reasons are rows of `problems`.
+    """
+    good = F.col("reason").isNull()
+    totals = parsed.agg(*_totals(good), F.count_if(~good).alias("unreadable_documents"))
+    return _summary(totals, "unreadable_documents").withColumn("collected", F.col("sample_count") > 0)

@@ -81,3 +81,16 @@ def test_files_and_masks(spark):
     assert one(spark, mask_secret(F.lit("abcdefgh")), mask_secret(F.lit("abc")), mask_secret(F.lit("a" * 40))) == (
         "ab********", "********", "aaaa********",
     )
+
+
+def test_rounding_of_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from opsdelta.functions import js_round
+    from opsdelta.functions.scalars import fixed_text
+
+    values = [1.5e15, 9.3e18, -4e22, 123456.5, -0.5, 2.5, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", js_round("x", 4).alias("a"), js_round("x").alias("b"), fixed_text(F.col("x"), 2).alias("t"))
+    rows = {r["x"]: r for r in df.collect()}
+    assert all(rows[v]["a"] == v for v in (1.5e15, 9.3e18, -4e22, float("inf"))) and rows[1.5e15]["t"] == "1500000000000000.00"
+    assert (rows[2.5]["b"], rows[-0.5]["b"], rows[123456.5]["b"]) == (3.0, 0.0, 123457.0)
