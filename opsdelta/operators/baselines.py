@@ -24,7 +24,9 @@ def claim_samples(samples: DataFrame, baselines: DataFrame) -> DataFrame:
     earliest = points.groupBy("server_id").agg(F.min("_known").alias("_min"))
     per_server = Window.partitionBy("server_id").orderBy("created_at")
     spans = (
-        baselines.select("server_id", F.col("label").alias("baseline_label"), "created_at")
+        # of baselines created at the same time the least label counts
+        baselines.groupBy("server_id", "created_at")
+        .agg(F.min("label").alias("baseline_label"))
         .withColumn("_from", F.lag("created_at").over(per_server))
         .join(earliest, "server_id")
         .select(

@@ -105,7 +105,7 @@ def truncated(findings: DataFrame, limit: int) -> DataFrame:
     """The first `limit` findings, each with the total and a note on the rest."""
     total = findings.agg(F.count(F.lit(1)).alias("total"))
     rest = F.col("total") - F.lit(limit)
-    note = F.when(rest > 0, F.concat(rest.cast("string"), F.lit(" further finding(s) matched but were not returned.")))
+    note = F.when(rest > 0, F.concat(rest.cast("string"), F.lit(" more findings match and are left out here.")))
     # `total` is one row by construction, so this join only adds two columns.
     return top_findings(findings, limit).join(F.broadcast(total)).withColumn("note", note)
 

@@ -135,7 +135,7 @@ def primary_reasons(findings: DataFrame, available: list[str], by: list[str] = [
     )
     cap_rows = caps(findings, by).select(*by, F.lit(0).cast("bigint").alias("position"), cap_text.alias("reason"))
     rows = cap_rows.unionByName(top.select(*by, F.col("r").cast("bigint").alias("position"), text.alias("reason")))
-    fallback = F.lit("No findings deducted from this score.")
+    fallback = F.lit("Nothing was deducted: the score is full.")
     if by:
         keys = groups.select(*by).distinct()
         quiet = keys.join(rows.select(*by).distinct(), by, "left_anti")

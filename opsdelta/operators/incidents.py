@@ -305,10 +305,13 @@ def signals_from_comparison(
 
 
 def state_changes(observations: DataFrame, span: str = "1d") -> DataFrame:
-    """First state per resource, then only rows whose state differs from the last."""
+    """First state per resource, then only rows whose state differs from the last.
+
+    An observation without a state says nothing and is passed over.
+    """
     from .ordered import with_previous
 
-    seen = with_previous(observations, ["resource"], "observed_at", "id", ["state"], span)
+    seen = with_previous(observations.where("state is not null"), ["resource"], "observed_at", "id", ["state"], span)
     return seen.where(F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state"))).select(
         "id",
         "resource",

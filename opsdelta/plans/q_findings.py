@@ -72,7 +72,7 @@ def _(spark, sf):
 
 @query(
     "truncated_findings",
-    f"""select {', '.join(SHOW)}, (select count(*) from v_findings) as total, (select (count(*) - 100) || ' further finding(s) matched but were not returned.' from v_findings) as note
+    f"""select {', '.join(SHOW)}, (select count(*) from v_findings) as total, (select (count(*) - 100) || ' more findings match and are left out here.' from v_findings) as note
     from v_findings order by {ORDER} limit 100""",
 )
 def _(spark, sf):
@@ -239,7 +239,7 @@ def _(spark, sf):
       select *, row_number() over (partition by resource order by pts desc, severity, rule_id) as r from (select resource, severity, rule_id, count(*) as n, sum(points) as pts
       from v_deductions where health_category in {AV} and resource is not null group by 1, 2, 3)) where r <= 5
     union all select resource, 0, 'capped at ' || cap || ' by ' || cap_severity || ' ' || cap_rule_id || ': ' || cap_title from {RCAP} where resource is not null)
-    select * from top union all select 'c' || c_custkey, 1, 'No findings deducted from this score.' from customer where 'c' || c_custkey not in (select resource from top)""",
+    select * from top union all select 'c' || c_custkey, 1, 'Nothing was deducted: the score is full.' from customer where 'c' || c_custkey not in (select resource from top)""",
 )
 def _(spark, sf):
     f = V.findings(spark, sf).where(F.col("resource").isNotNull())
@@ -278,7 +278,7 @@ def _(spark, sf):
         V.pre("c", "c_custkey").alias("resource"), V.pre("v", "c_nationkey").alias("version"), F.col("c_nationkey").cast("bigint").alias("file_count")
     )
     edges = GR.build_edges(V.dependencies(spark, sf), V.references(spark, sf)).where(F.col("kind") == "DECLARED")
-    deps = edges.select(F.concat(F.lit("c"), F.substring("from", 2, 20)).alias("resource"))
+    deps = edges.select(F.concat(F.lit("c"), F.substr("from", F.lit(2))).alias("resource"))
     return FI.resources_overview(res, deps, V.findings(spark, sf), resource_health(spark, sf))
 
 

@@ -182,7 +182,7 @@ def _(spark, sf):
     left join (select 'n' || substr(resource, 2) as name, count(distinct event) as n from v_event_facts group by 1) e using (name)""",
 )
 def _(spark, sf):
-    rename = lambda df: df.withColumn("resource", F.concat(F.lit("n"), F.substring("resource", 2, 20)))
+    rename = lambda df: df.withColumn("resource", F.concat(F.lit("n"), F.substr("resource", F.lit(2))))
     return GR.resource_detail(V.nodes(spark, sf), resolved(spark, sf), rename(V.findings(spark, sf)), rename(V.event_facts(spark, sf)))
 
 

@@ -209,9 +209,22 @@ def _(spark, sf):
     return s.select("resource", r6("value").alias("value"), "player_count", iso("sampled_at").alias("sampled_at"))
 
 
-@query("file_inventory")
+_DOC_PATH = "'resources/' || case when doc_id % 3 = 0 then '[' || lang || ']/' else '' end || case when doc_id % 5 = 0 then '' else source || '/' end || doc_id || case when doc_id % 4 = 0 then '.json' else '.lua' end"
+
+
+@query(
+    "file_inventory",
+    f"""select path, strlen(text)::BIGINT as size_bytes, sha256(text) as hash, {iso_sql("make_timestamp(1704067200000000 + doc_id * 1000000)")} as modified_at,
+    case when path like '%.json' then 'json' else 'lua' end as file_type,
+    case when seg[1] like '[%]' then (case when len(seg) >= 3 then seg[2] end) when len(seg) >= 2 then seg[1] end as resource,
+    case when seg[1] like '[%]' and len(seg) >= 3 then seg[1] end as category
+    from (select *, string_split(substr(path, 11), '/') as seg from (select *, {_DOC_PATH} as path from documents))""",
+)
 def _(spark, sf):
-    return INV.file_inventory(spark, sf).withColumn("modified_at", iso("modified_at"))
+    """Documents as a table of files."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+    files = V.table(spark, sf, "documents").select(F.expr(_DOC_PATH).alias("path"), F.col("text").alias("content"), at.alias("modified_at"))
+    return INV.content_inventory(files, ["resources"]).withColumn("modified_at", iso("modified_at"))
 
 
 @query(

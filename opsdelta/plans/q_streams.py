@@ -37,6 +37,24 @@ def _(spark, sf):
     return spark.read.parquet(path).select("server_id", "path", "digest", "sample_count", "event_count")
 
 
+@query(
+    "stream_ingest_rows",
+    f"""select server_id, sum(sample_count)::BIGINT as samples, sum(event_count)::BIGINT as events from (
+      select server_id, digest, any_value(case when event_id % 9 <> 0 then 1 else 0 end) as sample_count, any_value(case when event_id % 11 <> 0 then 1 else 0 end) as event_count
+      from (select *, {_DIGEST} as digest from v_doc_rows where user_id % 7 > 3) group by server_id, digest) group by server_id having sum(sample_count) + sum(event_count) > 0""",
+)
+def _(spark, sf):
+    """Stored samples and events of a stream that arrives in several batches."""
+    files = staging_path(spark, "event-files")
+    V.table(spark, sf, "events").repartition(6, "event_id").write.parquet(files)
+    stream = SS.read_files_stream(spark, files, 2).withColumn("ts", F.col("ts").cast("timestamp"))
+    ledger, samples, rows = (staging_path(spark, n) for n in ("ledger", "samples", "event-rows"))
+    SS.ingest_stream(V.event_documents(stream), ledger, staging_path(spark, "ledger-state"), None, samples, rows).awaitTermination()
+    counted = lambda path, n: spark.read.parquet(path).select("server_id", F.lit(n).alias("n"))
+    both = counted(samples, 0).unionByName(counted(rows, 1))
+    return both.groupBy("server_id").agg(F.count_if(F.col("n") == 0).alias("samples"), F.count_if(F.col("n") == 1).alias("events"))
+
+
 @query("stream_dedupe", "select distinct 'srv' || (user_id % 4) as server_id, sha256(event_type || props) as digest from events")
 def _(spark, sf):
     docs = events(spark, sf).select(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify_file
 
-# `binaryFile` cannot hold a larger value; such files are listed without hash.
-HASH_LIMIT = 1 << 30
+# The most that a value of Spark's binary type, and so of `binaryFile`, can hold.
+HASH_LIMIT = (1 << 31) - 1
 
 
 def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -37,6 +37,23 @@ def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
     )
 
 
+def content_inventory(contents: DataFrame, roots: list[str]) -> DataFrame:
+    """The inventory of a table of files (path, content, modified_at), a row each.
+
+    `content` is text or binary of any size a cell may have; it is hashed where it
+    is read and never travels. Files outside every root have no resource.
+    """
+    content = F.col("content").cast("binary")
+    return contents.select(
+        "path",
+        F.octet_length(content).cast("bigint").alias("size_bytes"),
+        F.sha2(content, 256).alias("hash"),
+        "modified_at",
+        classify_file("path").alias("file_type"),
+        assign_resource("path", roots).alias("_r"),
+    ).select("path", "size_bytes", "hash", "modified_at", "file_type", "_r.resource", "_r.category")
+
+
 def assign_resource(path: str | Column, roots: list[str]) -> Column:
     """Struct (resource, directory, category) of a path, NULL for loose files.
 

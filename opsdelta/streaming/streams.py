@@ -14,8 +14,8 @@ from ..functions import finite
 from ..operators.incidents import SIDE, link_confidence, signal_role
 from ..operators.ordered import with_previous
 from ..operators.stats import variation
-from ..session import staging_path
-from ..sources.telemetry import import_documents, ledger_rows
+from ..session import cut_lineage, staging_path
+from ..sources.telemetry import import_documents, ledger_rows, stored_events, stored_samples
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -30,6 +30,12 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: in
     return reader.parquet(folder)
 
 
+def read_files_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream, so many files a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
+
+
 def run_to_table(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what is available, write it as a Parquet table, and read that."""
     spark = stream.sparkSession
@@ -45,18 +51,22 @@ def run_to_table(stream: DataFrame, name: str, path: str | None = None, checkpoi
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def ingest_stream(raw: DataFrame, ledger_path: str, checkpoint: str, trigger: dict | None = None):
-    """Telemetry files into the ledger, each content once.
+def ingest_stream(raw: DataFrame, ledger_path: str, checkpoint: str, trigger: dict | None = None, samples_path: str | None = None, events_path: str | None = None):
+    """Telemetry files into samples, events and the ledger, each content once.
 
     `raw` streams (file, server_id, json). A batch is checked against the
     ledger and written under its own batch number, so replaying a batch after a
-    failure rewrites the same partition instead of importing twice.
+    failure rewrites the same partitions instead of importing twice. The ledger
+    is written last: what it names has been stored.
     """
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = _ledger(spark, ledger_path, number)
-        rows = ledger_rows(import_documents(batch, known), F.current_timestamp())
-        rows.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+        new = cut_lineage(import_documents(batch, known).where("status = 'IMPORTED'"))
+        for path, rows in ((samples_path, stored_samples), (events_path, stored_events)):
+            if path is not None:
+                rows(new).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ledger_rows(new, F.current_timestamp()).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return (
         raw.writeStream.foreachBatch(take)
@@ -67,8 +77,8 @@ def ingest_stream(raw: DataFrame, ledger_path: str, checkpoint: str, trigger: di
 
 
 def _ledger(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """(server_id, digest) of the batches before `number`."""
-    schema = "server_id string, digest string, batch int"
+    """(server_id, digest, raw_digest) of the batches before `number`."""
+    schema = "server_id string, digest string, raw_digest string, batch int"
     if number == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") < number)
@@ -152,12 +162,10 @@ def state_change_stream(observations: DataFrame, out_path: str, state_path: str,
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = _version(spark, state_path, number - 1)
-        # known states order before anything a batch may bring, late rows too
-        floor = F.timestamp_seconds(F.lit(0))
-        old = known.withColumn("observed_at", floor).withColumn("_known", F.lit(True))
-        rows = batch.select("id", "resource", "observed_at", "state").withColumn("_known", F.lit(False)).unionByName(old)
+        # a known state keeps its time: a late row comes before it and never replaces it
+        rows = batch.where("state is not null").select("id", "resource", "observed_at", "state").withColumn("_known", F.lit(False)).unionByName(known.withColumn("_known", F.lit(True)))
         seen = with_previous(rows, ["resource"], "observed_at", "id", ["state"])
-        changed = seen.where(~F.col("_known") & ~F.col("state").eqNullSafe(F.col("prev_state"))).select(
+        changed = seen.where(~F.col("_known") & (F.col("prev_state").isNull() | (F.col("state") != F.col("prev_state")))).select(
             "id", "resource", "observed_at", "state",
             F.when(F.col("prev_state").isNull(), "resource_state").otherwise("resource_state_changed").alias("kind"),
         )

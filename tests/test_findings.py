@@ -51,7 +51,7 @@ def test_reasons(spark):
     t = table(spark, f(0, "HIGH", 0.8), *[f(i, "MEDIUM", 0.5) for i in range(1, 13)], f(20, "LOW", 0.5, rule="PERF-EVENT-001"))
     got = [r["reason"] for r in HE.primary_reasons(t, ALL).orderBy("position").collect()]
     assert got[0].startswith("capped at 75") and got[1] == "MEDIUM: 12 PERF-LOOP-001 findings (-60)" and got[-1].endswith("1 PERF-EVENT-001 finding (-2)")
-    assert [r["reason"] for r in HE.primary_reasons(t.limit(0), ALL).collect()] == ["No findings deducted from this score."]
+    assert [r["reason"] for r in HE.primary_reasons(t.limit(0), ALL).collect()] == ["Nothing was deducted: the score is full."]
 
 
 def test_resources_without_findings_are_scored(spark):
@@ -69,7 +69,7 @@ def test_order_counts_and_filters(spark):
     assert FI.filter_findings(t, "MEDIUM").count() == 1 and FI.filter_findings(t, category="security").count() == 1
     assert FI.filter_findings(t, disabled=["PERF-LOOP-001"]).count() == 0
     first = FI.truncated(t, 2).first()
-    assert first["total"] == 5 and first["note"].startswith("3 further") and FI.truncated(t, 9).first()["note"] is None
+    assert first["total"] == 5 and first["note"].startswith("3 more") and FI.truncated(t, 9).first()["note"] is None
     assert FI.fail_gate(t, "HIGH").first()["failed"] and not FI.fail_gate(t.limit(0), "INFO").first()["failed"]
     assert FI.security_section(t, ran=False) is None
 

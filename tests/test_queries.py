@@ -36,7 +36,7 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries()) and len(QUERIES) > 120
-    assert set(QUERIES) - set(ORACLES) == {"file_inventory", "report_json"}
+    assert set(QUERIES) - set(ORACLES) == {"report_json"}
     assert entry.entry(spark).count() > 0
 
 

@@ -136,3 +136,36 @@ def test_numbers_that_do_not_fit_abort_nothing(spark):
     more = raw.unionByName(spark.createDataFrame([("d.json", "s", doc % ("2", "3", "1", "2")), ("e.json", "s", (doc % ("1.5", "3", "1", "2")) + " ")], raw.schema))
     again = {r["file"]: r["status"] for r in TM.import_documents(more, ledger).collect()}
     assert again == dict.fromkeys(("a.json", "b.json", "c.json", "e.json"), "ALREADY_IMPORTED") | {"d.json": "IMPORTED"}
+
+
+def test_stream_states_agree_with_the_batch_form(spark, tmp_path):
+    """Late rows and rows without a state, in three batches."""
+    from opsdelta.operators.incidents import state_changes
+
+    schema = "id bigint, resource string, observed_at timestamp, state string"
+    batches = [[(1, "r", 1000, "on")], [(2, "r", 500, "off"), (3, "r", 1500, None)], [(4, "r", 2000, "on"), (5, "r", 3000, "off")]]
+    rows = [[(i, r, F_time(t), s) for i, r, t, s in b] for b in batches]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for b in rows:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        SS.state_change_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/check").awaitTermination()
+    key = lambda df: {(r["id"], r["state"]) for r in df.collect()}
+    want = key(state_changes(spark.createDataFrame([x for b in rows for x in b], schema)))
+    assert want == {(2, "off"), (1, "on"), (5, "off")} and key(spark.read.parquet(f"{tmp_path}/out")) == want
+
+
+def F_time(seconds):
+    import datetime
+
+    return datetime.datetime.fromtimestamp(seconds)
+
+
+def test_equal_baseline_times_give_one_label(spark):
+    from opsdelta.operators.baselines import claim_samples
+
+    at = F_time(1000)
+    samples = spark.createDataFrame([("s", at, at)], "server_id string, sampled_at timestamp, imported_at timestamp")
+    for labels in (["b", "a"], ["a", "b"]):
+        base = spark.createDataFrame([("s", x, F_time(2000)) for x in labels], "server_id string, label string, created_at timestamp")
+        assert [r["baseline_label"] for r in claim_samples(samples, base).collect()] == ["a"]
