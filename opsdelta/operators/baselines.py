@@ -170,6 +170,15 @@ def find_baseline(baselines: DataFrame, server: str, label: str) -> DataFrame:
     return baselines.where((F.col("server_id") == server) & (F.col("label") == label))
 
 
+def baseline_details(child: DataFrame, server: str, label: str, by: list[str]) -> DataFrame:
+    """The detail rows that a baseline holds in a child table, in the order of `by`.
+
+    Resource names go by name, findings by id. Both conditions reach the scan.
+    """
+    own = child.where((F.col("server_id") == server) & (F.col("baseline_label") == label))
+    return own.orderBy(*by)
+
+
 def delete_baseline(child: DataFrame, removed: DataFrame) -> DataFrame:
     """The rows of a child table that remain once `removed` baselines are gone."""
     gone = removed.select("server_id", F.col("label").alias("baseline_label"))

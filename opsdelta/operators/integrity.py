@@ -145,5 +145,18 @@ def change_evidence(diff: DataFrame, limit: int = 25) -> DataFrame:
     )
 
 
+def find_snapshot(snapshots: DataFrame, name: str) -> DataFrame:
+    """The snapshot with that id, or the newest one with that label."""
+    found = snapshots.where((F.col("id") == name) | (F.col("label") == name))
+    exact = (F.col("id") == name).cast("int")
+    newest = found.agg(F.max_by(F.struct(*snapshots.columns), F.struct(exact, "created_at", "id")).alias("s"))
+    return newest.where("s is not null").select("s.*")
+
+
+def delete_snapshot(child: DataFrame, removed: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """The rows of a child table that remain once the `removed` snapshots are gone."""
+    return child.join(removed.select(F.col("id").alias(key)), key, "left_anti")
+
+
 def list_snapshots(snapshots: DataFrame, limit: int = 20) -> DataFrame:
     return snapshots.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)

@@ -21,15 +21,26 @@ def expired(ts: str, now: Column, days: int) -> Column:
     return F.col(ts) < cutoff(now, days)
 
 
-def purge(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
-    """What remains. Rows without a time are kept."""
-    return df.where(~F.coalesce(expired(ts, now, days), F.lit(False)))
+def leaves(df: DataFrame, ts: str, now: Column, days: int, server: str | None = None, everything: bool = False) -> Column:
+    """Whether a row goes: by age or, with `everything`, whatever its age; of one server only, if named.
 
+    A table that knows no servers loses nothing to a purge of one server.
+    """
+    gone = F.lit(True) if everything else F.coalesce(expired(ts, now, days), F.lit(False))
+    if server is None:
+        return gone
+    return gone & F.coalesce(F.col("server_id") == server, F.lit(False)) if "server_id" in df.columns else F.lit(False)
 
-def purge_counts(tables: dict[str, tuple[DataFrame, str, int]], now: Column) -> DataFrame:
+
+def purge(df: DataFrame, ts: str, now: Column, days: int, server: str | None = None, everything: bool = False) -> DataFrame:
+    """What remains. Rows without a time are kept, but for a purge of everything."""
+    return df.where(~leaves(df, ts, now, days, server, everything))
+
+
+def purge_counts(tables: dict[str, tuple[DataFrame, str, int]], now: Column, server: str | None = None, everything: bool = False) -> DataFrame:
     """Dry run: how many rows each table would lose."""
     parts = [
-        df.agg(F.count_if(F.coalesce(expired(ts, now, days), F.lit(False))).alias("deleted"), F.count(F.lit(1)).alias("total")).select(
+        df.agg(F.count_if(leaves(df, ts, now, days, server, everything)).alias("deleted"), F.count(F.lit(1)).alias("total")).select(
             F.lit(name).alias("table_name"), "deleted", (F.col("total") - F.col("deleted")).alias("kept")
         )
         for name, (df, ts, days) in tables.items()

@@ -297,6 +297,18 @@ def tables(spark, sf):
     }
 
 
+@query(
+    "purge_server",
+    "select 'performance_samples' as table_name, count(*) filter (server_id = (select min(server_id) from v_samples)) as deleted, "
+    "count(*) filter (server_id <> (select min(server_id) from v_samples)) as kept from v_samples",
+)
+def _(spark, sf):
+    """Everything of one server goes, whatever its age."""
+    samples = V.samples(spark, sf)
+    first = samples.agg(F.min("server_id").alias("s")).first()["s"]  # one value
+    return RT.purge_counts({"performance_samples": (samples, "sampled_at", 30)}, F.lit(NOW).cast("timestamp"), first, everything=True)
+
+
 @query(
     "retention_dry_run",
     "\nunion all ".join(

@@ -623,6 +623,17 @@ def _(spark, sf):
     return BL.list_baselines(V.baselines(spark, sf)).withColumn("created_at", iso("created_at"))
 
 
+@query(
+    "baseline_details",
+    f"""select resource, metric, {r6s('value')} as value, {iso_sql('sampled_at')} as sampled_at from v_claimed
+    where baseline_label = 'b1998' and server_id = (select min(server_id) from v_baselines)""",
+)
+def _(spark, sf):
+    first = V.baselines(spark, sf).agg(F.min("server_id").alias("s")).first()["s"]  # one value
+    rows = BL.baseline_details(claimed(spark, sf), first, "b1998", ["resource", "metric", "sampled_at"])
+    return rows.select("resource", "metric", r6("value").alias("value"), iso("sampled_at").alias("sampled_at"))
+
+
 @query(
     "delete_baseline",
     """select server_id, baseline_label, count(*) as sample_count from v_claimed

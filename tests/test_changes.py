@@ -168,3 +168,28 @@ def test_state_changes(spark):
     )
     got = {r["id"]: r["kind"] for r in CO.state_changes(df).collect()}
     assert got == {1: "resource_state", 4: "resource_state_changed", 5: "resource_state"}
+
+
+def test_snapshots_are_found_by_id_or_label_and_deleted(spark):
+    from opsdelta.operators import integrity as IN
+
+    rows = spark.createDataFrame([("s1", "day", 1), ("s2", "day", 2), ("s3", "other", 3), ("day", "x", 0)], "id string, label string, created_at int")
+    found = lambda name: [r["id"] for r in IN.find_snapshot(rows, name).collect()]
+    assert (found("s1"), found("other"), found("day"), found("none")) == (["s1"], ["s3"], ["day"], [])
+    files = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s2", "c")], "snapshot_id string, path string")
+    assert [r["path"] for r in IN.delete_snapshot(files, IN.find_snapshot(rows, "s2")).collect()] == ["a"]
+
+
+def test_purge_scopes(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from opsdelta.operators import retention as RT
+
+    day = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", day), ("a", None), ("b", day), (None, day)], "server_id string, at timestamp")
+    now = F.lit("2024-03-01").cast("timestamp")
+    left = lambda *a, **k: sorted(str(r["server_id"]) for r in RT.purge(df, "at", now, 30, *a, **k).collect())
+    assert left() == ["a"] and left("a") == ["None", "a", "b"] and left("a", everything=True) == ["None", "b"] and left(everything=True) == []
+    assert RT.purge_counts({"t": (df.drop("server_id"), "at", 30)}, now, "a", True).first()["deleted"] == 0
