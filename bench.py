@@ -65,10 +65,11 @@ def main() -> None:
     empty = spark.createDataFrame([], "server_id string, digest string")
 
     def load(ledger, out: str) -> None:
-        new = TM.import_documents(raw, ledger).where("status = 'IMPORTED'")
+        new = TM.import_documents(raw, ledger).where("status = 'IMPORTED'").cache()
         TM.ledger_rows(new, F.current_timestamp()).write.parquet(f"{out}/ledger")
         TM.stored_samples(new).write.parquet(f"{out}/samples")
         TM.stored_events(new).write.parquet(f"{out}/events")
+        new.unpersist()
 
     rates = {}
     if not only or "telemetry_import" in only:
