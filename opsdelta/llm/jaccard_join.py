@@ -9,9 +9,12 @@ threshold share one in some tree, 1 - (1 - t^k)^TREES, reaches the target recall
 
 At each length the nodes of a key are compared with the key's least node. A last
 round at the shortest length compares, within a key, the nodes that are still in
-different groups: all those outside the key's largest group with all others. So two
-candidates are either compared or already in one group, and no link that joins
-groups is lost, while a group of thousands costs a few comparisons a member.
+different groups: all those outside the key's largest group with all others, unless
+a bound rules the threshold out. The bound comes from BITS bits a node, one per
+residue of its shingles' hashes: a bit that only one of two sets occupies is a
+shingle that only it has. So two candidates are compared, provably apart, or already
+in one group, and no link that joins groups is lost, while a group of thousands
+costs a few comparisons a member. Links inside a group are those that were found.
 Comparisons are exact, on the 64-bit hashes of all shingles; pairs whose set sizes
 rule out the threshold are left out before.
 
@@ -23,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 TREES, DEEPEST, SHORTEN = 24, 8, 3
+#: Bits a node for the bound on what two sets have in common.
+BITS = 2048
 #: Sets that a task remembers, only to emit the same set less often.
 REMEMBERED = 200_000
 
@@ -116,15 +122,20 @@ def _signed(lengths: list[int], k: int, trees: int):
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 keys: list = [None] * len(names)
+                bits: list = [None] * len(names)
                 if fresh:
                     size = np.diff(first)[fresh]
                     cut = np.concatenate([[0], np.cumsum(size)])
                     own = hashes[np.repeat(first[:-1][fresh] - cut[:-1], size) + np.arange(cut[-1])]
                     for i, row in zip(fresh, A.signed(forest_keys(own, cut, lengths, trees)).reshape(len(fresh), -1).tolist()):
                         keys[i] = row
+                    flags = np.zeros((len(fresh), BITS), bool)
+                    flags[np.repeat(np.arange(len(fresh)), size), (own & np.uint64(BITS - 1)).astype(np.int64)] = True
+                    for i, row in zip(fresh, np.packbits(flags, axis=1).view(np.int64).tolist()):
+                        bits[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(np.diff(first).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "n_shingles", "keys"],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(np.diff(first).astype(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "node", "n_shingles", "keys", "bits"],
                 )
 
     return run
@@ -177,9 +188,9 @@ class Forest:
         self.threshold, self.trees = threshold, trees
         self.lengths = depths(threshold, target, trees)
         kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = staged(in_arrow(docs, _signed(self.lengths, shingle, trees), f"doc_id {kind}, node binary, n_shingles long, keys array<long>"), "shingle-nodes")
+        rows = staged(in_arrow(docs, _signed(self.lengths, shingle, trees), f"doc_id {kind}, node binary, n_shingles long, keys array<long>, bits array<long>"), "shingle-nodes")
         self.members = rows.select("doc_id", "node")
-        self.nodes = staged(rows.where("keys is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "forest")
+        self.nodes = staged(rows.where("keys is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "forest")
         candidates = self._shared(len(self.lengths) - 1)  # who shares a longer prefix shares this one
         low = F.conv(F.hex(F.substring("node", 9, 8)), 16, -10).cast("long")
         wanted = docs.sparkSession.sparkContext.broadcast(hash_bits(candidates.select(low.alias("h")), "h"))
@@ -205,18 +216,19 @@ class Forest:
         return self._shared(i).where((F.col("node") != F.col("pivot")) & self.close(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
     def across(self, groups: DataFrame) -> DataFrame:
-        """Pairs (a, b), a < b, of nodes that share a shortest prefix and are in different groups."""
-        rows = (
-            self._shared(len(self.lengths) - 1)
-            .select("key", "node", "n")
-            .join(groups, "node", "left")
-            .select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        )
+        """Pairs (a, b) that share a shortest prefix, in different groups, at most one of them in the key's largest."""
+        rows = self._shared(len(self.lengths) - 1).select("key", "node", "n")
+        rows = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = rows.groupBy("key", "root").count()
         mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("root").alias("groups")).where("groups > 1").select("key", F.col("top.root").alias("main"))
-        rows = staged(rows.join(mixed, "key"), "mixed-keys")
-        outside = rows.where("root != main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        pairs = outside.join(rows, "key").where((F.col("rx") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node"))) & self.close(F.col("nx"), F.col("n")))
+        words = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"b{i}") for i in range(BITS // 64)]  # plain columns compile to tight code
+        rows = staged(rows.join(mixed, "key").join(self.nodes.select("node", *words), "node"), "mixed-keys")
+        outside = rows.where("root != main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(len(words))])
+        apart = (F.col("rx") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
+        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"x{i}"))) for i in range(len(words))])
+        most = (F.col("n") + F.col("nx") - differ) / 2  # in common, if only the differing bits tell the sets apart
+        possible = most >= self.threshold * (F.col("n") + F.col("nx") - most) - 1e-9
+        pairs = outside.join(rows, "key").where(apart & self.close(F.col("nx"), F.col("n")) & possible)
         return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
