@@ -15,14 +15,11 @@ from opsdelta.llm import jaccard_join as near
 from opsdelta.llm import language, pieces
 from opsdelta.llm.common import documents, staged, without
 
-#: A text is rejected if no language holds this share of its words.
-SURE = 0.5
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language, or without one that prevails, go."""
+    """Texts without a language (`und`) go; texts of several languages stay."""
     found = language.predict(docs, language.fitted(docs), with_spans=False)
-    return without(docs, found.where((found["lang_pred"] == "und") | (found["score"] < SURE)))
+    return without(docs, found.where("lang_pred = 'und'"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
