@@ -175,7 +175,7 @@ def _predicted(model, switch: float, with_spans: bool):
         m: Model = model.value
         names = [*m.languages, "und"]
         for batch in batches:
-            for lo, hi, data, offs in A.slices(batch.column("text"), 1 << 22):
+            for lo, hi, data, offs in A.slices(batch.column("text"), 1 << 20):
                 n = hi - lo
                 w = A.words(data, offs)
                 doc = np.repeat(np.arange(n), np.diff(w.first))

@@ -32,7 +32,7 @@ from . import arrays as A
 from .common import documents, in_arrow, narrow
 
 SPACE = "▁"
-CACHED = 600_000
+CACHED = 200_000
 _kept: dict = {}
 
 
@@ -156,7 +156,7 @@ class Encoder:
                 yield self._framed(np.array(ids, dtype="<u4").tobytes(), origin, self.library.decode(ids))
             return
         split = [self.segment.findall(n) for n, _ in normal]
-        if len(self.cache) > CACHED or self.held > 1 << 26:
+        if len(self.cache) > CACHED or self.held > 1 << 23:
             self.cache.clear()
             self.held = 0
         new = list({s for ss in split for s in ss if s not in self.cache})
