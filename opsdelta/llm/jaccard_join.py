@@ -14,7 +14,9 @@ a bound rules the threshold out. The bound comes from BITS bits a node, one per
 residue of its shingles' hashes: a bit that only one of two sets occupies is a
 shingle that only it has. So two candidates are compared, provably apart, or already
 in one group, and no link that joins groups is lost, while a group of thousands
-costs a few comparisons a member. Links inside a group are those that were found.
+costs a few comparisons a member. Once the groups are known, every two nodes of one
+are compared, for the number of links: a group is dealt out in blocks, and two blocks
+meet as matrices whose product is what each two sets have in common.
 Comparisons are exact, on the 64-bit hashes of all shingles; pairs whose set sizes
 rule out the threshold are left out before.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ RECALL = 0.9999
 TREES, DEEPEST, SHORTEN = 24, 8, 3
 #: Bits a node for the bound on what two sets have in common.
 BITS = 2048
+#: Nodes and shingles that a block of a group has, as a rule, and shingles that are compared at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 2048
 #: Sets that a task remembers, only to emit the same set less often.
 REMEMBERED = 200_000
 
@@ -181,6 +186,61 @@ def _similar(threshold: float):
     return run
 
 
+def shared(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many hashes each set has in common with each of `right`, or with each of its own list."""
+    both = [*left, *(right or [])]
+    size = [len(s) for s in both]
+    hashes, row = np.concatenate(both), np.repeat(np.arange(len(both)), size)
+    by = np.argsort(hashes, kind="stable")
+    hashes, row = hashes[by], row[by]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    n = len(left)
+    out = np.zeros((n, n if right is None else len(right)), np.int64)
+    for lo in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(both), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        out += (has[:n] @ (has if right is None else has[n:]).T).astype(np.int64)
+    return out
+
+
+def _within(threshold: float, pairs: bool):
+    """Of rows sorted by (root, lo, hi): the links between the slots lo and hi, as pairs or as a count per node."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            hashes = batch.column("hashes")
+            for i, (*block, slot, node) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("root", "lo", "hi", "slot", "node")])):
+                yield block, slot, node, np.frombuffer(hashes[i].as_buffer(), np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), block in groupby(rows(batches), lambda r: r[0]):
+            block = list(block)
+            x, y = ([r for r in block if r[1] == slot] for slot in (lo, hi))
+            if not x or not y:
+                continue
+            common = shared([r[3] for r in x], None if lo == hi else [r[3] for r in y])
+            total = np.array([len(r[3]) for r in x])[:, None] + np.array([len(r[3]) for r in y])
+            linked = common >= threshold * (total - common) - 1e-9
+            if lo == hi:
+                np.fill_diagonal(linked, False)
+            if pairs:
+                a, b = np.nonzero(np.triu(linked) if lo == hi else linked)
+                ends = [(min(x[i][2], y[k][2]), max(x[i][2], y[k][2])) for i, k in zip(a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            else:
+                names, counts = [r[2] for r in x], linked.sum(axis=1)
+                if lo != hi:
+                    names, counts = names + [r[2] for r in y], np.concatenate([counts, linked.sum(axis=0)])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(counts.astype(np.int64))], names=["node", "n_links"])
+
+    return run
+
+
 class Forest:
     """The tables of one join: members (doc_id, node), nodes with their keys, and sets of candidates."""
 
@@ -237,13 +297,34 @@ class Forest:
         right = self.sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
         return in_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right"), _similar(self.threshold), "a binary, b binary")
 
+    def _blocks(self, groups: DataFrame, least: int) -> DataFrame:
+        """(root, lo, hi, slot, node, hashes), sorted: the nodes of groups with `least` and more, once for each slot of their group."""
+        rows = groups.join(self.nodes.select("node", "n"), "node")
+        many = F.ceil(F.greatest(F.count("n") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        sizes = rows.groupBy("root").agg(F.count("n").alias("nodes"), many.alias("slots")).where(F.col("nodes") >= least).drop("nodes")
+        rows = rows.join(sizes, "root").withColumn("slot", F.pmod(F.xxhash64("node"), "slots").cast("int"))
+        rows = rows.join(self.sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        rows = rows.select("root", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "hashes")
+        return rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+
+    def degrees(self, groups: DataFrame) -> DataFrame:
+        """(node, n_links): the links of each node of `groups`, all of which are inside its group."""
+        found = in_arrow(self._blocks(groups, 3), _within(self.threshold, False), "node binary, n_links long")
+        two = groups.groupBy("root").agg(F.count("node").alias("nodes"), F.array(F.min("node"), F.max("node")).alias("both")).where("nodes = 2")
+        return found.unionByName(two.select(F.explode("both").alias("node"), F.lit(1).cast("long").alias("n_links"))).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+    def links(self, groups: DataFrame) -> DataFrame:
+        """(a, b) with a < b: every link of the nodes of `groups`. Their number grows with the square of a group."""
+        return in_arrow(self._blocks(groups, 2), _within(self.threshold, True), "a binary, b binary")
+
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL, shingle: int = SHINGLE, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL, shingle: int = SHINGLE, trees: int = TREES, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
     classes: a row per input row: doc_id, class_id (the least doc_id of the texts that
-    links connect), n_links (links of its text to other texts), node (its set; rows with
-    the same node are copies). links: (a, b) verified pairs of nodes.
+    links connect), n_links (links of its text to other texts, all of them), node (its
+    set; rows with the same node are copies). links: (a, b) verified pairs of nodes, of
+    each class as many as connect it and were found on the way; with `all_links`, every one.
     """
     docs = narrow(df, doc_id=id_col, text=text_col)
     forest = Forest(docs, threshold, target, shingle, trees)
@@ -267,14 +348,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = staged(forest.across(groups).join(tested, ["a", "b"], "left_anti"), "pairs")
     links = staged(links.unionByName(forest.verified(rest)), "links")
     groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("node").alias("n_links"))
+    degree = forest.degrees(groups)
     firsts = forest.members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")).join(groups, "node", "left").withColumn("root", own)
     class_ids = firsts.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = firsts.join(class_ids, "root").join(degree, "node", "left").select(F.col("node").alias("of"), "class_id", "n_links")
     classes = forest.members.join(named, F.col("node") == F.col("of"), "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.hex("node").alias("node")
     )
-    return classes, links
+    return classes, forest.links(groups) if all_links else links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,28 @@ def test_a_large_group_costs_few_comparisons(spark):
     assert links.count() < 600 * 20  # of 180,000 pairs
 
 
+def test_links_inside_a_group_are_all_counted(spark, monkeypatch):
+    def linked(rows):
+        sets = {i: shingles(t) for i, t in rows}
+        near = lambda s, t: len(s & t) >= 0.8 * len(s | t) - 1e-9
+        return {(i, k) for i in sets for k in sets if i < k and sets[i] != sets[k] and near(sets[i], sets[k])}
+
+    base = [f"w{i}" for i in range(60)]
+    three = [" ".join([*base, end]) for end in ("a", "b", "c")]
+    texts = list(enumerate([*three, *near_copies(90), "p q r s t u", "p q r s t u v", "alone it stands here in the corpus"]))
+    want = linked(texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for block in (J.BLOCK, 7):  # one block a group, and many
+        monkeypatch.setattr(J, "BLOCK", block)
+        got, links = J.jaccard_join(docs, all_links=True)
+        rows = {r.doc_id: r for r in got.collect()}
+        assert [rows[i].n_links for i in range(3)] == [2, 2, 2]
+        assert {i: r.n_links for i, r in rows.items()} == {i: sum(i in pair for pair in want) for i, _ in texts}
+        ids = {r.node: i for i, r in rows.items()}
+        pairs = [tuple(sorted((ids[r.a.hex().upper()], ids[r.b.hex().upper()]))) for r in links.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline as P
 
