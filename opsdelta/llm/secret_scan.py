@@ -5,7 +5,9 @@ the gaps between them but no positions, so spans are running sums over a row per
 gap. All of it is DataFrame work.
 
 The battery looks at every other run of 16 and more token characters that holds a
-letter and a digit. The encoding is inferred from the characters (hex, base32,
+letter and a digit, or capitals alone (base32 by chance without a digit). A run is cut
+at an inner `=`, and where its characters fit no one alphabet, once at `+` and `/` and
+once at `_` and `-`; each part is a token of its own. The encoding is inferred from the characters (hex, base32,
 base36 or base64, which fixes the alphabet), and under the hypothesis "drawn
 uniformly from that alphabet" three tests give p-values: chi-squared over the
 symbols, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial
@@ -13,8 +15,8 @@ correlation. The least of the three, times three, is the token's p-value. Tests
 short tokens are weak, and lengths differ by orders; so the false-discovery rate is
 controlled (Benjamini-Hochberg) within each encoding and length band, over all
 tokens of the table, on a fixed grid of p-values. Tokens that it rejects are
-ordinary text; those that stand, carry at least `bits` bits, and touch no base span
-are reported with kind `random`.
+ordinary text; those that stand, carry at least `bits` bits, touch no base span and
+are not inside another such token are reported with kind `random`.
 
 Nulls count as empty; empty texts have no spans. Repeated rows each get their own
 result. Columns other than the two named ones are not read.
@@ -35,7 +37,10 @@ BASE = [
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", 0, 24),
 ]
 _TOKEN = "[A-Za-z0-9+/_=-]"
-TOKENS = rf"(?<!{_TOKEN})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]){_TOKEN}{{16,}}+"
+TOKENS = rf"(?<!{_TOKEN})(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?={_TOKEN}*?[A-Z]{{16}})){_TOKEN}{{16,}}+"
+#: Parts of a run between inner `=`, and of a part that mixes the separators of two alphabets; padding stays.
+PARTS = "[A-Za-z0-9+/_-]+(?:=+$)?"
+MIXED = ["[A-Za-z0-9_-]+(?:=+$)?", "[A-Za-z0-9+/]+(?:=+$)?"]
 
 #: The tolerated share of random tokens among those called ordinary.
 RATE = 0.05
@@ -95,6 +100,26 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def _cut(tokens: DataFrame, patterns: list[str]) -> DataFrame:
+    """The matches of each pattern in each token, as tokens with their own start and end."""
+    element = lambda way: lambda x, i: F.struct(F.lit(way).alias("way"), i.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("width"), x["hit"].alias("part"))
+    zipped = lambda p: F.arrays_zip(F.split("token", p, -1).alias("gap"), F.regexp_extract_all("token", F.lit(p), F.lit(0)).alias("hit"))
+    parts = F.concat(*[F.transform(zipped(p), element(way)) for way, p in enumerate(patterns)])
+    along = Window.partitionBy("doc_key", "start", "way").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = tokens.select("doc_key", "doc_id", "kind", "start", F.explode(parts).alias("x")).select("doc_key", "doc_id", "kind", "start", "x.*")
+    rows = rows.withColumn("end", F.col("start") + F.sum(F.col("gap") + F.coalesce("width", F.lit(0))).over(along)).where("width is not null")
+    return rows.select("doc_key", "doc_id", "kind", (F.col("end") - F.col("width")).alias("start"), "end", F.col("part").alias("token"))
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """Runs of token characters cut into tokens that fit an alphabet."""
+    inner, mixed = F.col("token").rlike("=[^=]"), F.col("token").rlike("[+/]") & F.col("token").rlike("[_-]")
+    runs = runs.select("doc_key", "doc_id", "kind", "start", "end", "token")
+    runs = runs.where(~inner).unionByName(_cut(runs.where(inner), [PARTS])).where(F.length("token") >= 16)
+    tokens = runs.where(~mixed).unionByName(_cut(runs.where(mixed), MIXED)).where(F.length("token") >= 16)
+    return tokens.where((F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")) | F.col("token").rlike("^[A-Z]+=*$"))
+
+
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal (Abramowitz and Stegun 26.2.17)."""
     a = F.abs(z)
@@ -162,7 +187,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rank = {k[0]: i for i, k in enumerate(BASE)} | {"random": len(BASE)}
     span = lambda kind: F.struct("start", F.create_map(*[F.lit(v) for kv in rank.items() for v in kv])[kind].alias("rank"), kind.alias("kind"), "end")
     is_base = F.col("kind").isin([k[0] for k in BASE])
-    tested = ordinary(battery(found.where("kind = 'token'")), rate)
+    tested = ordinary(battery(candidates(found.where("kind = 'token'"))), rate)
     random = tested.where(~F.col("ordinary") & (F.col("n") * F.log2("alphabet_size") >= bits)).select("doc_key", "doc_id", F.lit("random").alias("kind"), "start", "end")
     rows = found.select("doc_key", "doc_id", F.when(is_base, F.col("kind")).alias("kind"), "start", "end").unionByName(random)
     docs = rows.groupBy("doc_key", "doc_id").agg(
@@ -171,7 +196,8 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         *[F.count(F.when(F.col("kind") == k[0], 1)).alias(f"n_{k[0]}") for k in BASE],
     )
     free = F.filter("tokens", lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return docs.withColumn("random", free).select(
+    outer = F.filter("random", lambda t: ~F.exists("random", lambda o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])))
+    return docs.withColumn("random", free).withColumn("random", outer).select(
         "doc_id", *[f"n_{k[0]}" for k in BASE], F.size("random").cast("long").alias("n_random"), "base_spans", F.array_sort(F.concat("base_spans", "random")).alias("all_spans")
     )
 

@@ -175,6 +175,26 @@ def test_secret_scan(spark, weird, empty, corpus):
     assert secret_scan.secret_scan(weird).count() == weird.count() and secret_scan.secret_scan(empty).count() == 0
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    def random(alphabet, n, seed):
+        return "".join(alphabet[b % len(alphabet)] for b in hashlib.shake_256(seed).digest(n))
+
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = capitals + capitals.lower() + "0123456789"
+    aws, key, urlsafe = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY1", random(plain, 40, b"k"), random(plain + "-_", 44, b"u")
+    texts = [
+        (f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"👩 https://x.org/?client_id={key}&n=1", key), (f"?sig={random(plain + '+/', 42, b's')}== end", random(plain + "+/", 42, b"s") + "=="),
+        (f"GET /my-app/{urlsafe} now", urlsafe), (f"a={key}=b", key), ("otp " + random(capitals, 32, b"o") + " end", random(capitals, 32, b"o")),
+        ("first_name=second_name=third_name4", None), ("/my-app/section-2/page_3/my-app/section-2", None),
+    ]
+    rows = {r.doc_id: r for r in secret_scan.secret_scan(table(spark, [t for t, _ in texts])).collect()}
+    assert len(rows) == len(texts)
+    for i, (text, secret) in enumerate(texts):
+        found = [text[s.start : s.end] for s in rows[i].all_spans]
+        assert len(found) == (secret is not None) and (not found or found[0].endswith(secret)), (text, found)
+    assert rows[0].all_spans[0].start == len("AWS_SECRET_ACCESS_KEY=")
+
+
 def test_battery_calls_random_tokens_random(spark):
     rows = [(random_hex(20, i), True) for i in range(200)] + [(("ab12" * 10)[i % 4 :][:36], False) for i in range(40)]
     tested = secret_scan.ordinary(secret_scan.battery(spark.createDataFrame(rows, "token string, random boolean")))
