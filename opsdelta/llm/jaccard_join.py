@@ -1,11 +1,12 @@
-"""Near-duplicate texts: a Jaccard join over word shingles by a MinHash LSH forest.
+"""Near-duplicate texts: a Jaccard join over word shingles by MinHash prefixes.
 
 Texts are sets of shingles of five words (one shingle of all words, if fewer).
 Texts with the same set are one node; copies are never expanded. A node has TREES
-times `deepest` MinHash values, sorted tries of which are the forest: a tree's
-prefix of some length is a key, and nodes that share it are candidates. Prefixes
-begin at full length and are shortened until the chance that two nodes at the
-threshold share one in some tree, 1 - (1 - t^k)^TREES, reaches the target recall.
+times `deepest` MinHash values. A tree's prefix of some length is a key, and nodes that
+share it are candidates. The lengths are fixed, the same for all nodes (8 and 5 by
+default), in place of a forest's sorted tries that shorten by what matched: the last is
+the longest at which the chance that two nodes at the threshold share a key in some
+tree, 1 - (1 - t^k)^TREES, reaches the target recall.
 
 At each length the nodes of a key are compared with the key's least node. A last
 round at the shortest length compares, within a key, the nodes that are still in
