@@ -1,7 +1,8 @@
 """Token ids in binary files: canonical, length-limited Huffman codes in independent blocks.
 
 Three steps. (1) Texts are tokenised and the ids, each document's ended by an end
-id, are staged. (2) Ids are counted over the whole table, and package-merge turns
+id, are staged, with one row per task that counts its ids. (2) The counts of the whole
+table are added up, and package-merge turns
 the counts into code lengths of at most `MAX_BITS` (more only if the vocabulary
 needs it); codes follow from the lengths alone. (3) Documents are coded, dealt out
 by ranges of their id, sorted, and written as blocks.
@@ -14,11 +15,6 @@ offset of every STRIDE-th id of each document, so that any block, and any stretc
 of STRIDE ids in it, decodes alone. Decoding is table-driven: the next MAX_BITS
 bits index a table of symbol and length, for all stretches of a batch at once.
 
-Tokenising keeps a cache of word pieces per Python worker (bounded, only for speed).
-The tokenizer drops white space and never joins across it or between a letter and
-another character, except at apostrophes; a text with an apostrophe, a special
-token or without normal form C takes a coarser cut or goes to the library whole.
-
 Ids are integers. Null and empty texts consist of the end id. Rows with a null id come first. Rows
 that repeat an id are written next to each other, ordered by their ids' bits.
 Other columns are not read. An empty table gives empty files.
@@ -26,9 +22,6 @@ Other columns are not read. An empty table gives empty files.
 
 from __future__ import annotations
 
-import os
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import staging_path
 from . import arrays as A
+from . import word_ids
 from .common import documents, in_arrow, narrow
 
 END_ID = 1
@@ -47,93 +41,37 @@ STRIDE, BLOCK, BUCKET = 256, 1 << 16, 1 << 22
 #: Buckets at most: their sizes are the only thing that travels to the driver.
 MOST_BUCKETS = 20_000
 
-CACHED = 1_000_000
-_SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
-_LETTERS = re.compile(r"[^\W\d_]+|(?:[\W\d_](?<![ \n]))+")
-_CHUNKS = re.compile(r"[^ \n]+")
-_kept: dict = {}
-
-
-def word_tokenizer(path: str):
-    """`encode(texts) -> list of little-endian uint32 ids as bytes`, equal to the library on whole texts."""
-    key = ("tokenizer", path)
-    if key not in _kept:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        _kept[key] = (tokenizer, ends, {})
-    tokenizer, ends, cache = _kept[key]
-
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def word_ids(found: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Runs of letters go to the library by the hundred: the last piece of each is marked as an end."""
-        plain = [p for p in found if p.isalpha()]
-        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            got = np.array(e.ids, dtype="<u4")
-            last = np.flatnonzero(ends[got]) + 1
-            if len(last) == len(group):
-                raw = got.tobytes()
-                yield from zip(group, [raw[4 * a : 4 * b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())])
-            else:
-                yield from zip(group, ids(group))
-        rest = [p for p in found if not p.isalpha()]
-        yield from zip(rest, ids(rest))
-
-    def cut(text: str) -> list[str]:
-        if not unicodedata.is_normalized("NFC", text) or _SPECIAL.search(text):
-            return [text]
-        if "'" in text or "Σ" in text or "İ" in text:
-            return _CHUNKS.findall(text)
-        return _LETTERS.findall(text.lower())
-
-    def encode(texts: list[str]) -> list[bytes]:
-        pieces = [cut(t) for t in texts]
-        if len(cache) > CACHED:
-            cache.clear()
-        new = list({p for ps in pieces for p in ps if p not in cache})
-        local = cache
-        if sum(map(len, new)) > 1 << 23:  # very long pieces are not worth keeping
-            local = dict(cache)
-        for i in range(0, len(new), 20_000):
-            local.update(word_ids(new[i : i + 20_000]))
-        return [b"".join([local[p] for p in ps]) for ps in pieces]
-
-    return encode
-
 
 def _tokenised(path: str, end_id: int):
+    """Rows of ids, and after a task's last one a row that only counts the task's symbols."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(path)
+        encoder = word_ids.encoder(path)
         last = np.array([end_id], dtype="<u4").tobytes()
+        total = np.zeros(0, np.int64)
+        kind = pa.int64()
         for batch in batches:
-            texts = batch.column("text").fill_null("")
+            texts, kind = batch.column("text").fill_null(""), batch.column("doc_id").type
             for lo, hi, _, _ in A.slices(texts):
-                out = [x + last for x in encode(texts.slice(lo, hi - lo).to_pylist())]
+                out = [x + last for x in encoder.encode(texts.slice(lo, hi - lo).to_pylist())]
+                total = added(total, np.bincount(np.frombuffer(b"".join(out), dtype="<u4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.nulls(hi - lo, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_tokens", "ids", "counts"],
                 )
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "ids", "counts"])
 
     return run
 
 
-def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for _, _, data, _ in A.slices(batch.column("ids")):
-            n = np.bincount(data.view("<u4"))
-            if len(n) > len(total):
-                total, n = n, total
-            total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["symbol", "n"])
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two counts by symbol."""
+    if len(a) < len(b):
+        a, b = b, a
+    out = a.astype(np.int64)
+    out[: len(b)] += b
+    return out
 
 
 def code_lengths(counts: dict[int, int], max_bits: int = MAX_BITS) -> dict[int, int]:
@@ -206,10 +144,15 @@ def pack(ids: np.ndarray, first: np.ndarray, codes: np.ndarray, lens: np.ndarray
     return words.astype(">u8").view(np.uint8)[: int(starts[-1])], starts, inside
 
 
-def _coded(codes, lens):
+def _coded(codes, lens, bounds):
+    """Rows with their bits and the bucket their id falls into; a null id is in the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n_bits = codes.value, lens.value
+        c, n_bits, edges = codes.value, lens.value, bounds.value
         for batch in batches:
+            known = batch.column("doc_id")
+            bucket = np.where(known.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(edges, known.fill_null(0).to_numpy(), side="left"), 0)
+            bucket = pa.array(bucket.astype(np.int32))
             for lo, hi, data, offs in A.slices(batch.column("ids")):
                 ids, first = data.view("<u4").astype(np.int64), offs // 4
                 packed, starts, inside = pack(ids, first, c, n_bits)
@@ -217,7 +160,7 @@ def _coded(codes, lens):
                 marks = [inside[a:b:STRIDE].tolist() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch.column(k).slice(lo, hi - lo) for k in ("doc_id", "bucket", "n_tokens")],
+                        *[column.slice(lo, hi - lo) for column in (known, bucket, batch.column("n_tokens"))],
                         pa.array(marks, pa.list_(pa.int64())),
                         pa.array([raw[a:b] for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
                     ],
@@ -322,18 +265,20 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
     docs = narrow(df, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids_path = staging_path(spark, "token-ids")
-    in_arrow(docs, _tokenised(tokenizer, end_id), f"doc_id {kind}, n_tokens long, ids binary").write.option("compression", "zstd").parquet(ids_path)
-    ids = spark.read.parquet(ids_path)
-    counts = in_arrow(ids.select("ids"), _symbols, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-    lengths = code_lengths({r["symbol"]: r["n"] for r in counts.collect()}, max_bits)  # one row per id of the vocabulary
+    schema = f"doc_id {kind}, n_tokens long, ids binary, counts array<long>"
+    in_arrow(docs, _tokenised(tokenizer, end_id), schema).write.option("compression", "zstd").parquet(ids_path)
+    written = spark.read.schema(schema).parquet(ids_path)
+    counts = written.where("counts is not null").select(F.posexplode("counts").alias("symbol", "n")).where("n > 0").groupBy("symbol").agg(F.sum("n").alias("n"))
+    counted = {r["symbol"]: r["n"] for r in counts.collect()}  # one row per id of the vocabulary
+    lengths = code_lengths(counted, max_bits)
     codes, lens, _ = canonical(lengths)
-    total = sum(r["n"] for r in ids.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).collect())
-    buckets = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET), spark.sparkContext.defaultParallelism)))
+    ids = written.where("n_tokens is not null").drop("counts")
+    buckets = int(min(MOST_BUCKETS, max(1, -(-sum(counted.values()) // BUCKET), spark.sparkContext.defaultParallelism)))
     bounds = ids.select(F.percentile_approx("doc_id", F.lit([i / buckets for i in range(1, buckets)]), F.lit(10 * buckets)).alias("b")).first()["b"] if buckets > 1 else None
     bounds = sorted(set(bounds or []))
-    bucket = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
     context = spark.sparkContext
-    coded = in_arrow(ids.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int")), _coded(context.broadcast(codes), context.broadcast(lens)), f"doc_id {kind}, bucket int, n_tokens long, checkpoints array<long>, bits binary")
+    coding = [context.broadcast(x) for x in (codes, lens, np.array(bounds, dtype=np.int64))]
+    coded = in_arrow(ids, _coded(*coding), f"doc_id {kind}, bucket int, n_tokens long, checkpoints array<long>, bits binary")
     ordered = coded.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "bits")
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32()}[kind]
     in_arrow(ordered, _blocks(arrow_kind), f"bucket int, block long, first long, doc_ids array<{kind}>, n_tokens array<long>, checkpoints array<long>, bits binary").write.option("compression", "none").parquet(f"{path}/blocks")
