@@ -77,13 +77,14 @@ def choose(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> l
 
 def _powers(places: np.ndarray, window: int) -> tuple[list[int], list[int]]:
     """(later, earlier) indices of places whose distance is a power of two below the window, ordered by the later."""
+    index = np.full(int(places[-1]) + 1, -1, dtype=np.int32)
+    index[places] = np.arange(len(places), dtype=np.int32)
     to, source = [], []
     for k in range(int(window - 1).bit_length()):
-        wanted = places - (1 << k)
-        i = np.searchsorted(places, wanted)
-        ok = np.flatnonzero(places[i] == wanted)
-        to.append(ok)
-        source.append(i[ok])
+        later = np.arange(np.searchsorted(places, 1 << k), len(places))
+        i = index[places[later] - (1 << k)]
+        to.append(later[i >= 0])
+        source.append(i[i >= 0])
     to, source = np.concatenate(to), np.concatenate(source)
     by = np.argsort(to, kind="stable")
     return to[by].tolist(), source[by].tolist()
@@ -96,8 +97,10 @@ def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, gap: int = GAP,
     first = np.repeat(ends[:-1], extra)
     step = np.arange(len(first)) - np.repeat(np.cumsum(extra) - extra, extra) + 1
     places = np.sort(np.concatenate([ends, first + step * gap]))
-    penalties = np.where(np.isin(places, sentence_ends), sentence, inside)
-    penalties[np.isin(places, doc_ends)] = 0
+    cost = np.full(int(places[-1]) + 1, inside, dtype=np.int32)
+    cost[sentence_ends] = sentence
+    cost[doc_ends] = 0
+    penalties = cost[places]
     return places, penalties
 
 
@@ -105,15 +108,19 @@ def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, done = word_ids.encoder(path), 0
         last = np.array([end_id], dtype="<u4").tobytes()
+        small = max(encoder.size, end_id + 1) <= 1 << 16  # ids travel in two bytes if all of them fit
         for batch in batches:
             texts = batch.column("text").fill_null("")
             for lo, hi, _, _ in A.slices(texts):
                 parts = encoder.encode_sentences(texts.slice(lo, hi - lo).to_pylist())
                 ends = [np.cumsum([len(s) // 4 for s in p[:-1]], dtype=np.uint32).tobytes() for p in parts]
-                ids = [b"".join(p) + last for p in parts]
+                ids = [b"".join([*p, last]) for p in parts]
+                lengths = [len(x) // 4 for x in ids]
+                if small:
+                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo), pa.array(A.row_ids(done, hi - lo)), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        batch.column("doc_id").slice(lo, hi - lo), pa.array(A.row_ids(done, hi - lo)), pa.array(lengths, pa.int64()),
                         pa.array(ends, pa.binary()), pa.array(ids, pa.binary()),
                     ],
                     names=["doc_id", "row", "n_tokens", "ends", "ids"],
@@ -136,6 +143,7 @@ def _packed(window: int, sentence: int, inside: int):
         doc = np.searchsorted(starts, first, side="right") - 1
         sequence = np.searchsorted(cuts, first, side="right") - 1
         data = b"".join(raw)
+        data = np.frombuffer(data, dtype=f"<u{len(data) // int(doc_ends[-1])}").astype("<u4").tobytes()
         numbers = A.row_ids(done, len(cuts) - 1)
         pieces = [data[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist())]
         return pa.RecordBatch.from_arrays(

@@ -1,26 +1,28 @@
 """Token ids of a word tokenizer that lowers case, drops white space and never joins across it.
 
-It does not join across borders between letters and other characters either, so a text
-is parted there and each different part meets the library once while a bounded cache per
-Python worker holds it. A text with an apostrophe or a letter whose small form depends on
-its neighbours is parted at spaces and line breaks alone; a text with a special token or
-without normal form C goes to the library whole.
+So a text is parted at spaces and line breaks, and a bounded cache per Python worker holds
+the ids of parts. It does not join across borders between letters and other characters
+either: a new part is cut further there, and only runs that are new go to the library. A part with an apostrophe or a letter whose small form depends on its neighbours
+goes there as it is; a text with a special token or without normal form C goes there whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 
-#: Parts that the cache holds, and their characters; beyond either it starts anew.
+#: Parts and runs that the cache holds, and their characters; beyond either it starts anew.
 CACHED, LONG = 1_000_000, 1 << 24
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
-_PARTS = re.compile(r"[^\W\d_]+|(?:[^\w \n]+|[\d_]+)+")
-_SENTENCE_END = ".!?"
+_RUNS = re.compile(r"[^\W\d_]+|(?:[^\w \n]+|[\d_]+)+")
+_SENTENCE_END, _MARKS = ".!?", frozenset(".,;:!?")
+#: The byte step shows a byte that prints as itself, and the n-th of the others as character 256 + n.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - _PRINTS))}
 _kept: dict = {}
 
 
@@ -36,9 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.size = self.library.get_vocab_size()
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
@@ -58,29 +58,29 @@ class Encoder:
         """The cache, with every part in it."""
         if len(self.cache) > CACHED or self.held > LONG:
             self.cache, self.held = {}, 0
-        new = list(set().union(*parted).difference(self.cache))
-        for i in range(0, len(new), 20_000):
-            self.cache.update(self._ids(new[i : i + 20_000]))
+        cache = self.cache
+        new = list(set().union(*parted).difference(cache))
+        cut = {p: runs for p in new if not p.isalpha() or _odd(p) or p.lower() != p for runs in [_runs(p)] if runs != [p]}
+        missing = list(set(new).difference(cut).union(*cut.values()).difference(cache))
+        for i in range(0, len(missing), 20_000):
+            self._learn(missing[i : i + 20_000])
+        cache.update((p, b"".join([cache[r] for r in runs])) for p, runs in cut.items())
         self.held += sum(map(len, new))
-        return self.cache
+        return cache
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, found: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Runs of letters go to the library by the hundred: the last piece of each is marked as an end."""
-        plain = [p for p in found if p.isalpha()]
-        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            got = np.array(e.ids, dtype="<u4")
-            last = np.flatnonzero(self.ends[got]) + 1
-            if len(last) == len(group):
-                raw = got.tobytes()
-                yield from zip(group, [raw[4 * a : 4 * b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())])
+    def _learn(self, found: list[str]) -> None:
+        """Runs of small Latin letters go to the merges at once, in the form that the byte step gives them; the others through all steps."""
+        merge, rest = self.library.model.tokenize, []
+        for p in found:
+            if p.isalpha() and p.islower() and max(p) < "\u0180":
+                got = merge(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
+                self.cache[p] = struct.pack(f"<{len(got)}I", *[t.id for t in got])
             else:
-                yield from zip(group, self._library_ids(group))
-        rest = [p for p in found if not p.isalpha()]
-        yield from zip(rest, self._library_ids(rest))
+                rest.append(p)
+        self.cache.update(zip(rest, self._library_ids(rest)))
 
 
 def _whole(text: str) -> bool:
@@ -88,12 +88,24 @@ def _whole(text: str) -> bool:
     return ("<|" in text and _SPECIAL.search(text) is not None) or not unicodedata.is_normalized("NFC", text)
 
 
+def _odd(text: str) -> bool:
+    return "'" in text or "Σ" in text or "İ" in text
+
+
 def _parts(text: str) -> list[str]:
     if _whole(text):
         return [text]
-    if "'" in text or "Σ" in text or "İ" in text:
-        return text.replace("\n", " ").split(" ")
-    return _PARTS.findall(text.lower())
+    return (text if _odd(text) else text.lower()).replace("\n", " ").split(" ")
+
+
+def _runs(part: str) -> list[str]:
+    """What the tokenizer treats apart in a part: never several runs of letters across a border, unless the part is whole or odd."""
+    head, end = part[:-1], part[-1:]
+    if end in _MARKS and head.isalpha() and head.isascii():
+        return [head.lower(), end]
+    if " " in part or _odd(part) or _whole(part):
+        return [part]
+    return _RUNS.findall(part.lower())
 
 
 def _sentences(text: str) -> list[str]:
