@@ -65,6 +65,21 @@ def executable_writes(calls: DataFrame) -> DataFrame:
     )
 
 
+def _finding(rule: str, evidence: str, rows: DataFrame) -> DataFrame:
+    """`rows` (file, line, ...) with a finding id and the rule's."""
+    of_line = F.concat(F.lit(f"{evidence}:"), F.col("line").cast("string"))
+    return rows.select(finding_id(F.lit(rule), F.lit(""), "file", "line", of_line).alias("id"), F.lit(rule).alias("rule_id"), *rows.columns)
+
+
+def dynamic_exec_findings(calls: DataFrame) -> DataFrame:
+    return _finding("SEC-DYNAMIC-EXEC-001", "dynamic-exec", dynamic_exec(calls))
+
+
+def executable_write_findings(calls: DataFrame) -> DataFrame:
+    written = executable_writes(calls).withColumns({"severity": F.lit("HIGH"), "confidence": F.lit(0.7)})
+    return _finding("SEC-SUSPICIOUS-FILE-001", "file-write", written)
+
+
 def suspicious_files(files: DataFrame) -> DataFrame:
     """Files whose extension has no place in a resource, with how sure that is."""
     # the text after the last dot of the whole path, dot included

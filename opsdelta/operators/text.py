@@ -1,6 +1,6 @@
 """Corpus scanning: redaction, secrets, obfuscation indicators, call sites.
 
-Texts are processed whole. Everything but `call_sites` is built from JVM
+Texts are processed whole. Everything is built from JVM
 expressions; regular expressions avoid repeated groups over long runs, which
 Java would evaluate recursively.
 """
@@ -231,46 +231,3 @@ def obfuscation_score(features: DataFrame, encoded_ratio: float = 0.25, min_stri
         .withColumn("reportable", raw >= 0.3 - 1e-12)
         .withColumn("confidence", F.when(F.col("reportable"), js_round(F.least(F.lit(0.85), 0.4 + F.col("score") * 0.5), 2)))
     )
-
-
-# starts only where a run of name characters starts, so long runs cost one pass
-CALL = r"(?<![A-Za-z0-9_.:])[0-9.:]*+([A-Za-z_][A-Za-z0-9_.:]*+)\(([^()]*)\)"
-CALL_SCHEMA = "line bigint, name string, args string"
-
-
-def call_sites(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Calls with flat argument lists: line, name, literal arguments, other input.
-
-    A call may span lines, so line numbers come from offsets in the whole text.
-    That counting is the one step done in Python workers, per Arrow batch.
-    """
-    key_type = docs.schema[key].dataType.simpleString()
-
-    def scan(batches):
-        import re
-        from bisect import bisect_right
-
-        import pandas as pd
-
-        pattern = re.compile(CALL)
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                if t is None:
-                    continue
-                breaks = [m.start() for m in re.finditer("\n", t)]
-                rows += [(k, bisect_right(breaks, m.start(1)) + 1, m.group(1), m.group(2)) for m in pattern.finditer(t)]
-            yield pd.DataFrame(rows, columns=[key, "line", "name", "args"])
-
-    raw = docs.select(key, text).mapInPandas(scan, f"{key} {key_type}, {CALL_SCHEMA}")
-    bare = F.regexp_replace("args", STRING_LITERAL, " ")
-    return raw.where(~F.col("name").isin(KEYWORDS)).select(
-        key,
-        "line",
-        "name",
-        F.transform(
-            F.regexp_extract_all("args", F.lit(STRING_LITERAL), 1), lambda s: F.substr(s, F.lit(2), F.length(s) - 2)
-        ).alias("string_args"),
-        F.regexp_extract_all(F.regexp_replace(bare, NAME, " "), F.lit(r"(\d+(?:\.\d+)?)"), 1).alias("number_args"),
-        bare.rlike("[A-Za-z_]").alias("has_non_literal"),
-    )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, mask_secret
+from ..operators import calls as CS
 from ..operators import code_rules as CR
 from ..operators import text as TX
 from ..rules import Registry
@@ -185,18 +186,24 @@ def _(spark, sf):
     return s.select("key", "score", "reportable", "confidence")
 
 
+_PAGES = "(select page_id as file, html as text from pages)"
+
+
 @query(
     "call_sites",
-    r"""select page_id, 1 + list_sum(list_transform(list_slice(pieces, 1, i), lambda x: len(x) - len(replace(x, chr(10), '')))) +
-        coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda x: len(x) - len(replace(x, chr(10), '')))), 0) as line,
-      regexp_extract(hits[i], '^([A-Za-z_][A-Za-z0-9_.:]*)', 1) as name, len(regexp_extract_all(hits[i], '"[^"\n]*"|''[^''\n]*'''))::BIGINT as string_count
-    from (select page_id, hits, pieces, unnest(range(1, len(hits) + 1)) as i from (select page_id,
-      regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_.:]*\([^()]*\)') as hits, string_split_regex(html, '[A-Za-z_][A-Za-z0-9_.:]*\([^()]*\)') as pieces from pages))
-    where regexp_extract(hits[i], '^([A-Za-z_][A-Za-z0-9_.:]*)', 1) not in """ + _KW,
+    f"select file as page_id, line, name, len(string_args)::bigint as string_count, number_args, has_non_literal from {CS.sites_sql(_PAGES)}",
 )
 def _(spark, sf):
-    c = TX.call_sites(V.table(spark, sf, "pages"), "page_id", "html")
-    return c.select("page_id", "line", "name", F.size("string_args").cast("bigint").alias("string_count"))
+    c = CS.call_sites(V.table(spark, sf, "pages"), "page_id", "html")
+    return c.select("page_id", "line", "name", F.size("string_args").cast("bigint").alias("string_count"), "number_args", "has_non_literal")
+
+
+_SCRIPTS = CS.sites_sql("v_scripts")
+
+
+@query("script_calls", f"select * from {_SCRIPTS}")
+def _(spark, sf):
+    return CS.call_sites(V.scripts(spark, sf), "file", "text")
 
 
 # ------------------------------------------------------------- code facts
@@ -240,6 +247,40 @@ def _(spark, sf):
     return CR.executable_writes(V.calls(spark, sf))
 
 
+_SCRIPT_PAIRS = f"""(select f.file, f.line as fetch_line, f.name as fetch_call, l.line as loader_line, l.line - f.line as distance
+  from {_SCRIPTS} f join {_SCRIPTS} l on f.file = l.file and l.line - f.line between 0 and 60
+  where f.name in ('PerformHttpRequest', 'http.request', 'fetch') and l.name in {_LOADERS})"""
+
+
+@query(
+    "script_remote_loads",
+    f"""select {fnd("'SEC-REMOTE-LOAD-001'", "''", "file", "fetch_line", "'remote-load:' || fetch_line")} as id, 'SEC-REMOTE-LOAD-001' as rule_id, file, fetch_line as line, fetch_call,
+    count(*) as loader_count, min(distance) as distance, 'HIGH' as severity, case when min(distance) <= 10 then 0.8::DOUBLE else 0.6::DOUBLE end as confidence
+    from {_SCRIPT_PAIRS} group by file, fetch_line, fetch_call""",
+)
+def _(spark, sf):
+    return CR.remote_loads(CR.proximity_pairs(CS.call_sites(V.scripts(spark, sf), "file", "text")))
+
+
+@query(
+    "script_dynamic_exec",
+    f"""select {fnd("'SEC-DYNAMIC-EXEC-001'", "''", "file", "line", "'dynamic-exec:' || line")} as id, 'SEC-DYNAMIC-EXEC-001' as rule_id, file, line, name, 'MEDIUM' as severity, 0.75::DOUBLE as confidence
+    from {_SCRIPTS} where name in {_LOADERS} and name <> 'require' and (len(string_args) = 0 or has_non_literal)""",
+)
+def _(spark, sf):
+    return CR.dynamic_exec_findings(CS.call_sites(V.scripts(spark, sf), "file", "text"))
+
+
+@query(
+    "script_executable_writes",
+    f"""select {fnd("'SEC-SUSPICIOUS-FILE-001'", "''", "file", "line", "'file-write:' || line")} as id, 'SEC-SUSPICIOUS-FILE-001' as rule_id, file, line, name, target, 'HIGH' as severity, 0.7::DOUBLE as confidence
+    from (select *, list_filter(string_args, lambda x: contains(x, '.'))[1] as target from {_SCRIPTS} where name in ('SaveResourceFile', 'io.open', 'io.write'))
+    where regexp_matches(target, '(?i)\\.(exe|dll|so|dylib|bat|cmd|ps1|sh|scr|vbs|jar)$')""",
+)
+def _(spark, sf):
+    return CR.executable_write_findings(CS.call_sites(V.scripts(spark, sf), "file", "text"))
+
+
 @query(
     "suspicious_files",
     """select path, case ext when '.exe' then 'EXECUTABLE' when '.sh' then 'HOST_SCRIPT' when '.zip' then 'ARCHIVE' when '.dll' then 'NATIVE_MODULE' else 'DATABASE' end as kind,

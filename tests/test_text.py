@@ -1,7 +1,10 @@
 """Secret-shaped values are assembled here from harmless parts."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from opsdelta.operators import calls as CS
+from opsdelta.operators import code_rules as CR
 from opsdelta.operators import text as TX
 
 MASK = "*" * 8
@@ -106,8 +109,44 @@ def test_obfuscation(spark):
     assert score(spark, '"' + "\\120" * 20_000 + '"')["indicators"] == ["LONG_SINGLE_LINE"]
 
 
-def test_call_sites(spark):
-    text = 'x = load(y)\nfetch("http://a", 3,\n  "b") if(z)\n\nprint(7)'
-    got = TX.call_sites(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), "doc_id", "text")
-    rows = [(r["line"], r["name"], r["string_args"], r["number_args"], r["has_non_literal"]) for r in got.orderBy("line").collect()]
-    assert rows == [(1, "load", [], [], True), (2, "fetch", ["http://a", "b"], ["3"], False), (5, "print", [], ["7"], False)]
+def calls_of(spark, text):
+    got = CS.call_sites(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r["doc_id"] for r in got} <= {1}
+    return sorted((r["line"], r["name"], r["string_args"], r["number_args"], r["has_non_literal"]) for r in got)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('x = load(y)\nfetch("http://a", 3,\n  "b") if(z)\n\nprint(7)', [(1, "load", [], [], True), (2, "fetch", ["http://a", "b"], ["3"], False), (5, "print", [], ["7"], False)]),
+        ("load(decode(x))", [(1, "decode", [], [], True), (1, "load", [], [], True)]),
+        ("load(decode('x'), 'y')", [(1, "decode", ["x"], [], False), (1, "load", ["y"], [], True)]),
+        ("a.b:c ('q')", [(1, "a.b:c", ["q"], [], False)]),
+        ("f().g('x')", [(1, "f", [], [], False)]),
+        ("require 'm' print{1, 'x'}", [(1, "print", [], [], True), (1, "require", ["m"], [], False)]),
+        ("f(g 'x', -1, 2 - 1)", [(1, "f", ["x"], ["-1", "2", "1"], True), (1, "g", ["x"], [], False)]),
+        ("f({1, 'x'}, 'y')", [(1, "f", ["y"], [], False)]),
+        ("-- load(x)\nend.f(1) if (x) then", []),
+        ("f(", [(1, "f", [], [], False)]),
+        (") f(1) ) g('b') (", [(1, "f", [], ["1"], False), (1, "g", ["b"], [], False)]),
+        ("f('open\n(3)", [(1, "f", [], [], True), (1, "open", [], ["3"], False)]),
+        ("(" * 500, []),
+        ("", []),
+        ("f('a\\\\'b', \"c\")", [(1, "f", ["a\\\\'b", "c"], [], False)]),
+    ],
+)
+def test_call_sites(spark, text, want):
+    assert calls_of(spark, text.replace("\\\\", "\\")) == [(n, name, [x.replace("\\\\", "\\") for x in s], d, o) for n, name, s, d, o in want]
+
+
+def test_calls_of_nested_text_reach_the_rules(spark):
+    text = "PerformHttpRequest(url, function(b)\n load(decode(b)) end)\nSaveResourceFile(name(), 'helper.exe', data, -1)\nload('x')"
+    calls = CS.call_sites(spark.createDataFrame([("f", text)], "file string, text string"), "file", "text")
+    assert [(r.line, r.name) for r in CR.dynamic_exec_findings(calls).collect()] == [(2, "load")]
+    assert [r.target for r in CR.executable_write_findings(calls).collect()] == ["helper.exe"]
+    assert [(r.line, r.loader_count, r.distance) for r in CR.remote_loads(CR.proximity_pairs(calls)).collect()] == [(1, 2, 1)]
+
+
+def test_call_sites_need_one_shuffle_and_no_python(spark):
+    plan = CS.call_sites(spark.createDataFrame([(1, "f(1)")], "doc_id long, text string"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
