@@ -1,8 +1,8 @@
 """Whole Arrow string columns as numpy byte arrays: words, hashes and shingles.
 
 A word is a run of digits, ASCII letters (A-Z count as a-z) and anything outside
-ASCII. Work goes through slices of a few MB, so memory is bounded by the slice
-or, where a single text is longer, by that text. Hashes are polynomials modulo
+ASCII. Work goes through slices of a quarter MB (a word costs some 100 bytes of arrays
+for each of its own), so memory is bounded by the slice or, where a single text is longer, by that text. Hashes are polynomials modulo
 2^64, taken as differences of a prefix sum, and then mixed.
 """
 
@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -53,8 +53,13 @@ def slices(column: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, i
         lo = hi
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of at least `n` powers; only those of a slice's size are kept."""
+    usual = SLICE_BYTES + (1 << 16)
+    return _slice_powers(usual) if n <= usual else _make_powers(n)
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(_BASE, -1, 1 << 64))
     out = []
     for base in (np.uint64(_BASE), inverse):
@@ -64,6 +69,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_slice_powers = lru_cache(maxsize=1)(_make_powers)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of a 64-bit value over all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -88,8 +96,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
     after &= ~edge[1:]
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    size = max(SLICE_BYTES + (1 << 16), 1 << int(n + 1).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((LOWER[data] if lower else data).astype(np.uint64) * up[:n] + up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])

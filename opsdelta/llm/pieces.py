@@ -10,7 +10,7 @@ original text, whatever was replaced.
 Merges never reach across some borders: no piece of the vocabulary has a space
 after something else, and none holds a line break. Both are checked when a model is
 loaded; between such borders segments are encoded alone, by the library, and kept
-in a bounded cache per Python worker. A model without that property, or with other
+in a bounded cache for the length of a task. A model without that property, or with other
 switches than an added prefix and escaped spaces, is encoded whole.
 
 Nulls count as empty: begin and end id only. Repeated rows each get a row. Empty
@@ -32,7 +32,8 @@ from . import arrays as A
 from .common import documents, in_arrow, narrow
 
 SPACE = "▁"
-CACHED = 200_000
+#: Bytes that the cache of segments may take, the objects themselves included; it is dropped when a task ends.
+CACHED, ENTRY = 48 << 20, 400
 _kept: dict = {}
 
 
@@ -111,7 +112,7 @@ class Encoder:
         self.begin, self.end = (struct.pack("<I", pieces.index(x)) for x in ("<s>", "</s>"))
         self.in_front = len(self.library.encode("\n"))  # ids of the prefix and a line break
         self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0  # characters of the cached segments
+        self.held = 0  # bytes of the cached segments
         self.segment = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -156,17 +157,19 @@ class Encoder:
                 yield self._framed(np.array(ids, dtype="<u4").tobytes(), origin, self.library.decode(ids))
             return
         split = [self.segment.findall(n) for n, _ in normal]
-        if len(self.cache) > CACHED or self.held > 1 << 23:
-            self.cache.clear()
-            self.held = 0
+        if self.held > CACHED:
+            self.forget()
         new = list({s for ss in split for s in ss if s not in self.cache})
-        self.held += sum(map(len, new))
+        self.held += sum(12 * len(s) + ENTRY for s in new)
         self._segments(new)
         for ss, (_, origin) in zip(split, normal):
             got = [self.cache[s] for s in ss]
             decoded = b"".join([g[1] for g in got]).decode()
             yield self._framed(b"".join([g[0] for g in got]), origin, decoded[1:] if decoded.startswith(" ") else decoded)
 
+    def forget(self) -> None:
+        self.cache, self.held = {}, 0
+
     def _framed(self, ids: bytes, origin: np.ndarray, decoded: str) -> tuple[bytes, np.ndarray, str]:
         all_ids = self.begin + ids + self.end
         borders = np.concatenate([[0], np.cumsum(self.width[np.frombuffer(all_ids, dtype="<u4")])])
@@ -182,7 +185,7 @@ def encoder(path: str) -> Encoder:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for batch, lo, hi, texts in _parts(batches):
+        for batch, lo, hi, texts in _parts(model, batches):
             ids, borders, decoded = [], [], []
             for i, b, d in model.encode(texts):
                 ids.append(np.frombuffer(i, dtype="<u4").astype(np.int64))
@@ -201,7 +204,7 @@ def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch, lo, hi, texts in _parts(batches):
+        for batch, lo, hi, texts in _parts(model, batches):
             rows = [(i, len(i) // 4, sha(i), sha(d.encode()), int((b[1:] - b[:-1]).sum())) for i, b, d in model.encode(texts)]
             raw, n, ids, decoded, covered = zip(*rows)
             out = [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(covered, pa.int64())]
@@ -212,11 +215,12 @@ def _digests(path: str, with_ids: bool):
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list[str]]]:
+def _parts(model: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list[str]]]:
     for batch in batches:
         texts = batch.column("text").fill_null("")
-        for lo, hi, _, _ in A.slices(texts, 1 << 20):
+        for lo, hi, _, _ in A.slices(texts):
             yield batch, lo, hi, texts.slice(lo, hi - lo).to_pylist()
+    model.forget()
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
