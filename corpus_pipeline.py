@@ -51,12 +51,15 @@ STAGES = [
     ("benchmark decontamination", drop_contaminated),
     ("sentencepiece encoding", tokenise),
 ]
+#: Documents a Python worker is handed at a time: Arrow buffers on both sides hold so many whole texts.
+ARROW_ROWS = 1000
 #: Language models and similarity groups are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written and read again as the next one's input."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
