@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint, finite, fixed
-from ..session import cut_lineage
+from ..operators.keyfilter import key_filter, may_match
+from ..session import cut_and_count, cut_lineage
 
 HEADER = (
     "struct<schemaVersion:variant,collector:variant,collectorVersion:variant,writtenAt:variant,serverUptimeMs:variant,"
@@ -263,21 +264,33 @@ def ingest_once(docs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def import_documents(raw: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Parse, digest and judge documents, parsing each new text exactly once.
-
-    Texts whose bytes the ledger knows (`raw_digest`) are settled before parsing;
-    they come back with their status and without content. The others are parsed and
-    written to the shared folder, and the first copy of each digest is found on three
-    narrow columns of that table.
+    """Parse, digest and judge documents; a text is read, hashed and parsed at most once.
+
+    A filter of fixed size over the bytes the ledger knows (`raw_digest`) is asked in the
+    scan that reads the texts. What it rules out is new and is parsed there; the others
+    leave that scan without their text, as keys, and only keys meet the ledger. Texts that
+    passed the filter by chance are found by a filter of their own and read again. So no
+    text is shuffled, but for those few. Known texts come back with their status and
+    without content. The first copy of each digest is found on three narrow columns.
     """
     raw = raw.withColumn("raw_digest", F.sha2("json", 256))
     if "raw_digest" not in ledger.columns:
         return ingest_once(cut_lineage(with_digest(documents(parse(raw)))), ledger)
-    known = ledger.where("raw_digest is not null").select("server_id", "raw_digest").distinct()
     keys = ["server_id", "raw_digest"]
-    new = ingest_once(cut_lineage(with_digest(documents(parse(raw.join(known, keys, "left_anti"))))), ledger)
-    seen = raw.drop("json").join(known, keys, "left_semi").withColumn("status", F.lit("ALREADY_IMPORTED"))
-    return new.unionByName(seen, allowMissingColumns=True)
+    key = F.struct(*keys)
+    known = ledger.where("raw_digest is not null").select(*keys)
+    asked = may_match(raw, key, key_filter(known, key), "_asked")
+    parsed = parse(asked.withColumn("json", F.when(~F.col("_asked"), F.col("json"))))
+    staged = cut_lineage(with_digest(parsed.where(F.col("reason").isNull() | F.col("_asked"))))
+    new = documents(staged.where(~F.col("_asked"))).drop("_asked")
+    narrow = staged.where("_asked").select(*[c for c in raw.columns if c != "json"])
+    by_chance, n = cut_and_count(narrow.join(known, keys, "left_anti"))
+    if n:
+        likely = may_match(raw, key, key_filter(by_chance, key), "_asked").where("_asked").drop("_asked")
+        again = likely.join(by_chance.select(*keys).distinct(), keys, "left_semi")
+        new = new.unionByName(cut_lineage(with_digest(documents(parse(again)))))
+    seen = narrow.join(known, keys, "left_semi").withColumn("status", F.lit("ALREADY_IMPORTED"))
+    return ingest_once(new, ledger).unionByName(seen, allowMissingColumns=True)
 
 
 def ledger_rows(ingested: DataFrame, imported_at: Column) -> DataFrame:

@@ -169,3 +169,34 @@ def test_equal_baseline_times_give_one_label(spark):
     for labels in (["b", "a"], ["a", "b"]):
         base = spark.createDataFrame([("s", x, F_time(2000)) for x in labels], "server_id string, label string, created_at timestamp")
         assert [r["baseline_label"] for r in claim_samples(samples, base).collect()] == ["a"]
+
+
+def test_known_texts_are_settled_by_their_keys(spark, monkeypatch):
+    from opsdelta.operators import keyfilter
+
+    files = spark.createDataFrame([(f"f{i}", "s", '{"schemaVersion":"1.0","writtenAt":%d,"samples":[],"events":[]}' % (i % 30)) for i in range(40)], "file string, server_id string, json string")
+    empty = spark.createDataFrame([], "server_id string, digest string, raw_digest string")
+    first = TM.import_documents(files.where("file < 'f25'"), empty)
+    ledger = TM.ledger_rows(first, F.current_timestamp())
+    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
+    want = None
+    for bits in (1 << 24, 1 << 3):  # a filter of eight bits lets nearly every text pass
+        monkeypatch.setattr(keyfilter, "BITS", bits)
+        got = TM.import_documents(files, ledger)
+        status = {r["file"]: r["status"] for r in got.collect()}
+        assert len(status) == 40 and (want is None or status == want)
+        want = status
+        imported = {r["digest"] for r in got.where("status = 'IMPORTED'").collect()} | {r["digest"] for r in ledger.collect()}
+        assert len(imported) == 30
+        assert TM.import_documents(files, ledger.unionByName(TM.ledger_rows(got, F.current_timestamp()))).where("status = 'IMPORTED'").count() == 0
+
+
+def test_no_text_is_shuffled_on_import(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("f", "s", "{}")], "file string, server_id string, json string")
+        ledger = spark.createDataFrame([("s", "d", "x")], "server_id string, digest string, raw_digest string")
+        plan = TM.import_documents(files, ledger)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "json" not in plan
