@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite
-
-# A group with at most this many values is finished by one aggregate, which
-# keeps its distinct values in memory; larger ones are cut into value ranges.
-SMALL_GROUP = 1_000_000
-CELLS = 4096
+from ..session import cut_lineage
 
 STATS = ["sample_count", "mean", "median", "p95", "min", "max", "standard_deviation", "coefficient_of_variation"]
 
@@ -27,18 +23,6 @@ def variation(sd: Column, mean: Column) -> Column:
     return F.when(mean == 0, F.lit(0.0)).otherwise(F.try_divide(sd, mean))
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """A bound on the rows of the largest group; the driver reads one number.
-
-    The table's row count, which Parquet footers tell, already settles small
-    tables. Otherwise it takes a count per group, combined map-side.
-    """
-    total = df.count()
-    if total <= SMALL_GROUP:
-        return total
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
 def _fractions(ps: list[float]) -> list[float]:
     return [min(100.0, max(0.0, p)) / 100.0 for p in ps]
 
@@ -46,33 +30,34 @@ def _fractions(ps: list[float]) -> list[float]:
 def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float]) -> DataFrame:
     """Exact linearly interpolated percentiles: columns `by`, `n`, `p0`, `p1`…
 
-    The size of the largest group decides the plan. When every group is small,
-    one aggregate does. Otherwise rows are first reduced to (group, value,
-    count), which spreads a hot group over all tasks, and in a hot group only
-    the value ranges that hold a wanted rank are kept: two rounds of 4096
-    ranges each leave about 1/16,000,000 of the value range to sort.
+    Distributed selection, the same for groups of every size. Rows fold to (group, value,
+    count); these are dealt out by ranges of (group, value) and written, so a hot group
+    lies in many parts, in order. The counts per group and part tell how many values lie
+    before each part, and so which parts hold a wanted rank: only those are read again,
+    and a running count inside a part picks the values.
     """
     fractions = _fractions(ps)
-    clean = df.where(finite(value))
-    if largest_group(df, by) <= SMALL_GROUP:
-        return clean.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in fractions])).alias("_ps")
-        ).select(*by, "n", *[F.element_at("_ps", i + 1).alias(f"p{i}") for i in range(len(ps))])
-    pairs = clean.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = pairs.groupBy(*by).agg(
-        F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    sized = _join(pairs, sizes, by)
-    small = (
-        sized.where(F.col("_d") <= SMALL_GROUP)
-        .groupBy(*by)
-        .agg(
-            F.sum("_c").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(p) for p in fractions]), F.col("_c")).alias("_ps"),
-        )
-        .select(*by, "n", *[F.element_at("_ps", i + 1).alias(f"p{i}") for i in range(len(ps))])
+    folded = df.where(finite(value)).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    folded = cut_lineage(folded.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = folded.groupBy(*by, "_part").agg(F.sum("_c").alias("_m"))
+    group, up_to = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_part")
+    placed = parts.select(*by, "_part", (F.sum("_m").over(up_to) - F.col("_m")).alias("_below"), F.sum("_m").over(group).alias("n"), "_m")
+    at = [(F.col("n") - 1) * F.lit(p) for p in fractions]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), cut(r).cast("bigint").alias("rank")) for i, r in enumerate(at) for side, cut in enumerate((F.floor, F.ceil))])
+    held = F.filter(ranks, lambda r: (r["rank"] >= F.col("_below")) & (r["rank"] < F.col("_below") + F.col("_m")))
+    live = placed.select(*by, "_part", "_below", "n", held.alias("_ranks")).where(F.size("_ranks") > 0)
+    running = Window.partitionBy(*by, "_part").orderBy("_v")
+    ended = _join(folded, live, [*by, "_part"]).withColumn("_end", F.col("_below") + F.sum("_c").over(running))
+    mine = F.filter("_ranks", lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= F.col("_end") - F.col("_c")))
+    found = ended.select(*by, "n", "_v", F.explode(mine).alias("_r"))
+    picked = found.groupBy(*by, "n").agg(
+        *[F.max(F.when((F.col("_r.i") == i) & (F.col("_r.side") == side), F.col("_v"))).alias(f"_v{i}_{side}") for i in range(len(ps)) for side in (0, 1)]
     )
-    return small.unionByName(_hot(sized.where(F.col("_d") > SMALL_GROUP), by, fractions))
+    return picked.select(*by, "n", *[_between(F.col(f"_v{i}_0"), F.col(f"_v{i}_1"), r).alias(f"p{i}") for i, r in enumerate(at)])
+
+
+def _between(low: Column, high: Column, rank: Column) -> Column:
+    return F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
 
 
 def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -82,66 +67,6 @@ def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(r, on).drop(*[f"_r{i}" for i in range(len(by))])
 
 
-def _hot(sized: DataFrame, by: list[str], ps: list[float]) -> DataFrame:
-    """Percentiles of hot groups: one row per wanted rank, narrowed by range."""
-    ranks = []
-    for i, p in enumerate(ps):
-        r = (F.col("n") - 1) * F.lit(p)
-        ranks += [F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(r).cast("bigint").alias("rank"))]
-        ranks += [F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(r).cast("bigint").alias("rank"))]
-    keys = [*by, "_i", "_side"]
-    rows = sized
-    wanted = (
-        sized.select(*by, "n", "_lo", "_hi")
-        .distinct()
-        .withColumn("_w", F.explode(F.array(*ranks)))
-        .select(
-            *by, "n", F.col("_w.i").alias("_i"), F.col("_w.side").alias("_side"), F.col("_w.rank").alias("_rank"),
-            "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"),
-        )
-    )
-    rows = _join(rows.select(*by, "_v", "_c"), wanted, by)
-    for _ in range(2):
-        width = F.col("_hi") - F.col("_lo")
-        cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
-        rows = rows.withColumn("_cell", cell.cast("bigint"))
-        histogram = rows.groupBy(*keys, "_rank", "_below", "_cell").agg(
-            F.sum("_c").alias("_n"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi")
-        )
-        up_to = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        target = (
-            histogram.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_n").over(up_to), F.lit(0)))
-            .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n")))
-            .select(*keys, F.col("_cell").alias("_tcell"), "_start", "_clo", "_chi")
-        )
-        rows = (
-            _join(rows, target, keys)
-            .where(F.col("_cell") == F.col("_tcell"))
-            .withColumn("_lo", F.col("_clo"))
-            .withColumn("_hi", F.col("_chi"))
-            .withColumn("_below", F.col("_start"))
-            .drop("_cell", "_tcell", "_start", "_clo", "_chi")
-        )
-    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        rows.withColumn("_end", F.col("_below") + F.sum("_c").over(running))
-        .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
-        .groupBy(*by, "n")
-        .agg(
-            *[
-                F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_v"))).alias(f"_v{i}_{side}")
-                for i in range(len(ps))
-                for side in (0, 1)
-            ]
-        )
-    )
-    out = []
-    for i, p in enumerate(ps):
-        r = (F.col("n") - 1) * F.lit(p)
-        out.append((F.col(f"_v{i}_0") + (F.col(f"_v{i}_1") - F.col(f"_v{i}_0")) * (r - F.floor(r))).alias(f"p{i}"))
-    return picked.select(*by, "n", *out)
-
-
 def summarize(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The eight statistics per group; a group without a finite value is all zero."""
     m = moments(value)
@@ -154,14 +79,10 @@ def summarize(df: DataFrame, by: list[str], value: str) -> DataFrame:
         zero(F.max(v)).alias("max"),
         m["sd"].alias("standard_deviation"),
     ]
-    if largest_group(df, by) <= SMALL_GROUP:
-        both = df.groupBy(*by).agg(*simple, F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("_ps"))
-        out = both.withColumn("median", F.element_at("_ps", 1)).withColumn("p95", F.element_at("_ps", 2))
-    else:
-        ranks = percentiles(df, by, value, [50.0, 95.0])
-        r = ranks.select(*[F.col(b).alias(f"_r{i}") for i, b in enumerate(by)], F.col("p0").alias("median"), F.col("p1").alias("p95"))
-        on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_r{i}")) for i, b in enumerate(by)])
-        out = df.groupBy(*by).agg(*simple).join(r, on, "left")
+    ranks = percentiles(df, by, value, [50.0, 95.0])
+    named = ranks.select(*[F.col(b).alias(f"_r{i}") for i, b in enumerate(by)], F.col("p0").alias("median"), F.col("p1").alias("p95"))
+    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_r{i}")) for i, b in enumerate(by)], F.lit(True))
+    out = df.groupBy(*by).agg(*simple).join(named, on, "left")
     return out.select(
         *by,
         "sample_count",

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,23 +23,47 @@ def test_bad_values_are_dropped_and_an_empty_group_is_zero(spark):
     assert tuple(got["b"])[1:] == (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("shape", ["uniform", "outlier", "ties", "single"])
-def test_hot_groups_give_the_same_percentiles(spark, monkeypatch, shape):
+@pytest.fixture
+def many_parts(spark):
+    """Small parts stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("shape", ["uniform", "outlier", "two scales", "ties", "single"])
+def test_percentiles_of_hot_groups_equal_plain_python(spark, shape, many_parts):
     rnd = random.Random(5)
     make = {
         "uniform": lambda: rnd.random() * 100, "outlier": lambda: rnd.choice([rnd.random(), 1e12]),
-        "ties": lambda: float(rnd.randrange(3)), "single": lambda: 4.0,
+        "two scales": lambda: rnd.random() * rnd.choice([1e-9, 1.0, 1e15]), "ties": lambda: float(rnd.randrange(3)), "single": lambda: 4.0,
     }[shape]
-    data = [(k, make()) for k in ("hot",) * 900 + ("cold",) * 31 + (None,) * 7] + [("one", 2.5), ("bad", None)]
-    df = spark.createDataFrame(data, "k string, v double")
-    ps = [0, 37.5, 50, 95, 100]
-    want = {r["k"]: r for r in ST.percentiles(df, ["k"], "v", ps).collect()}
-    monkeypatch.setattr(ST, "SMALL_GROUP", 0)
+    data = [(k, make()) for k in ("hot",) * 9000 + ("cold",) * 31 + (None,) * 7] + [("one", 2.5), ("bad", None), ("bad", float("nan"))]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    ps = [-3, 0, 37.5, 50, 95, 99.99, 100]
     got = {r["k"]: r for r in ST.percentiles(df, ["k"], "v", ps).collect()}
-    assert got.keys() == want.keys() == {"hot", "cold", None, "one"}
-    for k in want:
-        assert tuple(got[k])[1:] == pytest.approx(tuple(want[k])[1:], rel=1e-9)
-    assert len(ST.summarize(df, ["k"], "v").collect()) == 5
+    assert got.keys() == {"hot", "cold", None, "one"}
+    for k in got:
+        values = sorted(v for key, v in data if key == k)
+        assert got[k]["n"] == len(values)
+        assert list(got[k])[2:] == pytest.approx(np.percentile(values, np.clip(ps, 0, 100)).tolist(), rel=1e-9)
+    summary = {r["k"]: r for r in ST.summarize(df, ["k"], "v").collect()}
+    assert len(summary) == 5 and (summary["bad"]["median"], summary["bad"]["p95"]) == (0.0, 0.0)
+    assert summary["cold"]["median"] == got["cold"]["p3"]
+
+
+def test_percentiles_without_groups_and_without_rows(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
+    assert [tuple(r) for r in ST.percentiles(df, [], "v", [50, 75]).collect()] == [(3, 2.0, 3.0)]
+    assert ST.percentiles(df.where("false"), [], "v", [50]).collect() == []
+    assert ST.summarize(df, [], "v").first()["median"] == 2.0
+
+
+def test_a_hot_group_is_dealt_out_in_order(spark, many_parts):
+    df = spark.range(200_000).select(F.lit("hot").alias("k"), F.rand(3).alias("v"))
+    folded = df.groupBy("k", F.col("v").alias("_v")).count().repartitionByRange("k", "_v").withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in folded.groupBy("part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 150_000
 
 
 def test_verdicts(spark):
