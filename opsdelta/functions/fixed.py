@@ -186,7 +186,7 @@ REDACTIONS = [
     (
         "sensitive-assignment",
         # what precedes the name is kept as it is, so the match may start at the name
-        "(?i)(" + SENSITIVE_NAME + "[\"'`]?\\s*+(?:=>|=|:)\\s*+)([\"'`])([^\"'`\\n]++)(\\2)",
+        "(?i)(" + SENSITIVE_NAME + "[\"'`]?\\s*+(?:=|:|=>)\\s*+)([\"'`])([^\"'`\\n]++)(\\2)",
         f"$1$2{MASK}$2",
     ),
     (
