@@ -11,12 +11,20 @@ once at `_` and `-`; each part is a token of its own. The encoding is inferred f
 base36 or base64, which fixes the alphabet), and under the hypothesis "drawn
 uniformly from that alphabet" three tests give p-values: chi-squared over the
 symbols, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial
-correlation. The least of the three, times three, is the token's p-value. Tests of
-short tokens are weak, and lengths differ by orders; so the false-discovery rate is
-controlled (Benjamini-Hochberg) within each encoding and length band, over all
-tokens of the table, on a fixed grid of p-values. Tokens that it rejects are
-ordinary text; those that stand, carry at least `bits` bits, touch no base span and
-are not inside another such token are reported with kind `random`.
+correlation. The least of the three, times three, is the token's p-value; a token with
+one below ALPHA is not random.
+
+Not to be told from random is not yet to be random: tests of short tokens are weak. So
+a second null hypothesis, "ordinary text", has to be rejected as well. It is a fixed
+model of names, paths and numbers: classes of characters that change seldom, letters as
+often as in prose, repeats and ascending steps more often than by chance. The
+likelihood under that model over the likelihood under the uniform one exceeds its
+inverse with no larger probability than itself (Markov's inequality), so that, times the
+number of alphabets to choose from, it is a p-value; it shrinks with the length. False
+reports are controlled (Benjamini-Hochberg) within each encoding and length band, over
+all tokens of the table, on a fixed grid of p-values; every place of a token counts.
+Tokens for which both hold, that carry at least `bits` bits, touch no base span and are
+not inside another such token are reported with kind `random`.
 
 Nulls count as empty; empty texts have no spans. Repeated rows each get their own
 result. Columns other than the two named ones are not read.
@@ -42,8 +50,10 @@ TOKENS = rf"(?<!{_TOKEN})(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?={_
 PARTS = "[A-Za-z0-9+/_-]+(?:=+$)?"
 MIXED = ["[A-Za-z0-9_-]+(?:=+$)?", "[A-Za-z0-9+/]+(?:=+$)?"]
 
-#: The tolerated share of random tokens among those called ordinary.
+#: The tolerated share of ordinary text among the tokens reported.
 RATE = 0.05
+#: Uniform tokens that the battery may lose.
+ALPHA = 0.001
 #: The least information of a reported token.
 BITS = 64
 #: The grid of p-values: powers of ten by eighths.
@@ -60,6 +70,15 @@ ENCODINGS = [
     ("base64", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 ]
 
+# The model of ordinary text: symbols of four classes (lower case, capitals, digits,
+# separators), the chance of each class at the start and after each class, letters in
+# thousandths of prose, and the weight of a repeated or ascending symbol inside a class.
+_SYMBOLS = [_LOWER, _UPPER, _DIGITS, "+/_-"]
+_FIRST = [0.55, 0.25, 0.15, 0.05]
+_NEXT = [[0.85, 0.05, 0.04, 0.06], [0.20, 0.70, 0.05, 0.05], [0.10, 0.08, 0.70, 0.12], [0.60, 0.18, 0.20, 0.02]]
+_LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
+_STEP = 0.2
+
 
 def _gaps(kind: str, pattern: str, group: int, least: int) -> Column:
     """An element per match of the gap before it and its length, and one for the rest of the text."""
@@ -136,7 +155,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     df = tokens.withColumn("core", core).withColumn("encoding", chain(0)).withColumn("alphabet", chain(1))
     df = df.withColumn("v", F.transform(F.split("core", "", -1), lambda c: F.instr(F.col("alphabet"), c) - 1))
     df = df.withColumn("v", F.filter("v", lambda x: x >= 0)).withColumn("n", F.size("v")).withColumn("alphabet_size", F.length("alphabet"))
-    n, a = F.col("n").cast("double"), F.col("alphabet_size").cast("double")
+    # Conditions may be evaluated on rows that another one drops: no divisor may be 0.
+    n, a = F.nullif(F.col("n").cast("double"), F.lit(0.0)), F.col("alphabet_size").cast("double")
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda s, x: s + f(x))
     after = F.slice("v", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)))
     before = F.slice("v", F.lit(1), F.greatest(F.col("n") - 1, F.lit(0)))
@@ -153,7 +173,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     cube = F.cbrt((a / n * F.col("squares") - n) / freedom)
     z_chi = (cube - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
     expected = 2 * F.col("high") * (n - F.col("high")) / n + 1
-    deviation = F.sqrt((expected - 1) * (expected - 2) / (n - 1))
+    deviation = F.sqrt((expected - 1) * (expected - 2) / F.nullif(n - 1, F.lit(0.0)))
     z_runs = F.when(deviation > 0, F.abs(F.col("runs") - expected) / deviation)
     z_serial = F.when(F.col("spread") > 0, F.abs(F.col("serial") / F.col("spread") + 1 / n) * F.sqrt(n))
     df = df.withColumn("p_chi", _normal_tail(z_chi))
@@ -163,9 +183,33 @@ def battery(tokens: DataFrame) -> DataFrame:
     )
 
 
-def ordinary(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """Adds `ordinary`: rejected as random at that false-discovery rate within its encoding and length band."""
-    step = F.least(F.lit(DEEPEST), F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * STEPS)).cast("int")
+def likeness(tested: DataFrame) -> DataFrame:
+    """Adds to rows of `battery` `p_text`: the p-value of "ordinary text" against "uniform over the alphabet"."""
+    table = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    letters = [x / sum(_LETTERS) for x in _LETTERS]
+    share = table(letters + letters + [0.1] * 10 + [0.25] * 4)
+    kinds = F.array(*[F.lit(k) for k, symbols in enumerate(_SYMBOLS) for _ in symbols])
+    first, following = table(_FIRST), table([x for row in _NEXT for x in row])
+    number = lambda c: F.instr(F.lit("".join(_SYMBOLS)), c)
+    symbol = lambda c: F.struct(number(c).alias("u"), F.get(kinds, number(c) - 1).alias("k"), F.get(share, number(c) - 1).alias("q"))
+    df = tested.withColumn("_s", F.transform(F.filter(F.split(F.regexp_replace("token", "=+$", ""), "", -1), lambda c: c != ""), symbol))
+    n = F.size("_s")
+    same = lambda x, y: (1 - _STEP) * y["q"] + F.when((y["u"] == x["u"]) | (y["u"] == x["u"] + 1), _STEP / 2).otherwise(0.0)
+    chance = lambda x, y: F.get(following, x["k"] * 4 + y["k"]) * F.when(x["k"] == y["k"], same(x, y)).otherwise(y["q"])
+    steps = F.zip_with(F.slice("_s", F.lit(1), n - 1), F.slice("_s", F.lit(2), n - 1), lambda x, y: F.log2(chance(x, y)))
+    start = F.log2(F.get(first, F.get("_s", F.lit(0))["k"]) * F.get("_s", F.lit(0))["q"])
+    ratio = F.aggregate(steps, start, lambda s, x: s + x) + n * F.log2("alphabet_size")
+    alphabets = len(ENCODINGS)
+    return df.withColumn("p_text", F.least(F.lit(1.0), alphabets * F.pow(F.lit(2.0), F.least(F.lit(0.0), ratio)))).drop("_s")
+
+
+def ordinary(tested: DataFrame, rate: float = RATE, alpha: float = ALPHA) -> DataFrame:
+    """Adds `ordinary` to rows of `battery`: false only if uniform stands and ordinary text is rejected.
+
+    `rate` bounds the share of ordinary text among the rejected, within each encoding and length band.
+    """
+    tested = staged(likeness(tested), "tested-tokens")  # read twice below, and conditions on p-values stay out of the battery's plan
+    step = F.least(F.lit(DEEPEST), F.floor(-F.log10(F.greatest("p_text", F.lit(1e-300))) * STEPS)).cast("int")
     df = tested.withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("step", step)
     stratum = Window.partitionBy("encoding", "band")
     deeper = stratum.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -175,7 +219,8 @@ def ordinary(tested: DataFrame, rate: float = RATE) -> DataFrame:
         .where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= rate * F.col("below") / F.col("all"))
         .groupBy("encoding", "band").agg(F.min("step").alias("limit"))
     )
-    return df.join(F.broadcast(limits), ["encoding", "band"], "left").withColumn("ordinary", F.coalesce(F.col("step") >= F.col("limit"), F.lit(False))).drop("band", "step", "limit")
+    rejected = F.coalesce(F.col("step") >= F.col("limit"), F.lit(False))
+    return df.join(F.broadcast(limits), ["encoding", "band"], "left").withColumn("ordinary", ~rejected | (F.col("p") < alpha)).drop("band", "step", "limit")
 
 
 def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, bits: float = BITS) -> DataFrame:

@@ -203,6 +203,67 @@ def test_battery_calls_random_tokens_random(spark):
     assert (False, False) not in wrong and share <= 0.05
 
 
+NAMES = """getUserAccountById2 camelCaseIdentifier42 configuration_file_2020 src/main/java/App1 thumbnail_1280x720_final
+COVID19VaccinationRecord 1234567890abcdef12 SUPERCALIFRAGILISTIC my-long-branch-name/feature-142 INTERNATIONALIZATION
+node_modules/lodash4/index user_profile_picture_v2 2021-03-04T10-20-30Z abcdefghijklmnop1 HttpServletRequest2Wrapper
+reports/2023/quarter4/summary thisIsAVeryLongMethodName1 0000000000000000a release-candidate-2024-11-30 Section12Paragraph34Item5""".split()
+
+
+def random_token(alphabet, n, seed):
+    r = np.random.default_rng(seed)
+    while True:
+        token = "".join(alphabet[i] for i in r.integers(0, len(alphabet), n))
+        if re.search("[0-9]", token) and re.search("[A-Za-z]", token):
+            return token
+
+
+def like_text(token):
+    """The p-value of ordinary text, symbol by symbol."""
+    letters = [x / sum(secret_scan._LETTERS) for x in secret_scan._LETTERS]
+    core = token.rstrip("=")
+    size = next(len(a) for _, pattern, a in secret_scan.ENCODINGS if re.match(pattern, core))
+    bits, before = 0.0, None
+    for c in core:
+        k = next(k for k, symbols in enumerate(secret_scan._SYMBOLS) if c in symbols)
+        i = secret_scan._SYMBOLS[k].index(c)
+        q = letters[i] if k < 2 else (0.1 if k == 2 else 0.25)
+        if before is None:
+            chance = secret_scan._FIRST[k] * q
+        elif before[0] == k:
+            chance = secret_scan._NEXT[k][k] * ((1 - secret_scan._STEP) * q + (secret_scan._STEP / 2 if i - before[1] in (0, 1) else 0))
+        else:
+            chance = secret_scan._NEXT[before[0]][k] * q
+        bits += np.log2(chance) + np.log2(size)
+        before = k, i
+    return min(1.0, len(secret_scan.ENCODINGS) * 2.0 ** min(0.0, bits))
+
+
+def test_names_are_not_reported_and_random_tokens_are(spark):
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [plain + "+/", plain, "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    keys = [random_token(kinds[i % 4], 24 + i % 30, i) for i in range(400)]
+    for texts in ([f"see {t} here" for t in keys + NAMES for _ in range(3)], [f"see {t} here" for t in NAMES]):
+        found = secret_scan.secret_scan(table(spark, texts)).where("n_random > 0").select("doc_id").collect()
+        tokens = [texts[r.doc_id].split()[1] for r in found]
+        assert not set(tokens) & set(NAMES)
+        assert len(texts) < 100 or len(tokens) >= 0.98 * 3 * len(keys)
+
+
+def test_control_of_false_reports_equals_plain_python(spark):
+    tokens = [random_token("abcdefghijklmnopqrstuvwxyzABC0123456789", 16 + i % 50, i) for i in range(80)] + NAMES + ["a1" * 12, "Ab3=" * 4 + "x" * 8]
+    rows = secret_scan.ordinary(secret_scan.battery(spark.createDataFrame([(t,) for t in tokens if "=" not in t and not re.search("[+/].*[_-]|[_-].*[+/]", t)], "token string"))).collect()
+    groups = {}
+    for r in rows:
+        assert np.isclose(r.p_text, like_text(r.token), rtol=1e-6)
+        p = 10 ** (-min(secret_scan.DEEPEST, np.floor(-np.log10(max(r.p_text, 1e-300)) * secret_scan.STEPS)) / secret_scan.STEPS)
+        groups.setdefault((r.encoding, int(np.log2(r.n))), []).append((p, r))
+    for group in groups.values():
+        ranked = sorted(p for p, _ in group)
+        limit = max((p for i, p in enumerate(ranked, 1) if p <= secret_scan.RATE * i / len(ranked)), default=-1)
+        for p, r in group:
+            assert r.ordinary == (p > limit or r.p < secret_scan.ALPHA), r
+
+
 def test_code_lengths_are_optimal_and_limited():
     import heapq
 
