@@ -1,6 +1,6 @@
 """Language of texts, and of the spans of mixed ones.
 
-The script of a word's first letter narrows the languages that may have written it.
+The script of a word's first character that has one narrows the languages that may have written it.
 Each candidate gets the log-likelihood of the word's byte trigrams (with marks for
 its two ends), and Viterbi over the words of a text, with a penalty for switching,
 labels them. A text's language is the one that most of its scored words have.
@@ -35,15 +35,19 @@ LIMIT = 8.0
 SHARE = 0.001
 #: Languages at most: their counts travel to the driver.
 LANGUAGES = 512
+#: Languages scored at a time.
+BLOCK = 8
 
 # Scripts and their code points, from the Unicode block list.
 SCRIPTS = [
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xAA, 0x24F), ("latin", 0x1E00, 0x1EFF),
     ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
     ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F), ("devanagari", 0x900, 0x97F),
-    ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("tamil", 0xB80, 0xBFF),
-    ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F), ("thai", 0xE00, 0xE7F),
-    ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("kana", 0x3040, 0x30FF),
+    ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("oriya", 0xB00, 0xB7F),
+    ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F),
+    ("sinhala", 0xD80, 0xDFF), ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x109F),
+    ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("cherokee", 0x13A0, 0x13FF),
+    ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1800, 0x18AF), ("kana", 0x3040, 0x30FF), ("thaana", 0x780, 0x7BF), ("syriac", 0x700, 0x74F),
     ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x2FA1F),
 ]
 _NAMES = ["", *dict.fromkeys(s[0] for s in SCRIPTS)]
@@ -53,9 +57,8 @@ _HIGH = np.array([s[2] for s in _ORDER])
 _NUMBER = np.array([_NAMES.index(s[0]) for s in _ORDER])
 
 
-def scripts(data: np.ndarray, w: A.Words) -> np.ndarray:
-    """The number of the script of each word's first character; 0 is none."""
-    at = w.starts
+def _script_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of the script of the character that begins at each byte; 0 is none."""
     b = [data[np.minimum(at + i, len(data) - 1)].astype(np.int64) if len(data) else np.zeros(0, np.int64) for i in range(4)]
     low = [x & 0x3F for x in b]
     point = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, (b[0] & 0x1F) << 6 | low[1], np.where(b[0] < 0xF0, (b[0] & 0xF) << 12 | low[1] << 6 | low[2], (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3])))
@@ -63,6 +66,24 @@ def scripts(data: np.ndarray, w: A.Words) -> np.ndarray:
     return np.where((i >= 0) & (point <= _HIGH[np.maximum(i, 0)]), _NUMBER[np.maximum(i, 0)], 0)
 
 
+def scripts(data: np.ndarray, w: A.Words) -> np.ndarray:
+    """The number of the script of each word's first character that has one; 0 is none."""
+    number = _script_at(data, w.starts)
+    later = np.flatnonzero(number == 0)  # words that open with a digit or a mark: look at all their bytes
+    if len(later):
+        size = (w.ends - w.starts)[later]
+        first = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(w.starts[later] - first[:-1], size) + np.arange(first[-1])
+        at = at[(data[at] & 0xC0) != 0x80]
+        found = _script_at(data, at)
+        at, found = at[found > 0], found[found > 0]
+        k = np.searchsorted(at, w.starts[later])
+        ok = k < len(at)
+        ok[ok] = at[k[ok]] < w.ends[later[ok]]
+        number[later[ok]] = found[k[ok]]
+    return number
+
+
 def trigrams(data: np.ndarray, w: A.Words) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, first): a bucket per byte of the words; word i has buckets[first[i]:first[i + 1]]."""
     low = A.LOWER[data].astype(np.uint32)
@@ -116,8 +137,10 @@ class Model:
     def word_scores(self, data: np.ndarray, w: A.Words) -> np.ndarray:
         """(word, language): how much the word speaks for each, 0 on average over the candidates."""
         buckets, first = trigrams(data, w)
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.scores[buckets], axis=0, dtype=np.float64)])
-        raw = sums[first[1:]] - sums[first[:-1]]
+        raw = np.empty((len(first) - 1, len(self.languages)))
+        for a in range(0, raw.shape[1], BLOCK):  # the running sums have a row per byte
+            sums = np.concatenate([np.zeros((1, len(self.languages[a : a + BLOCK]))), np.cumsum(self.scores[buckets, a : a + BLOCK], axis=0, dtype=np.float64)])
+            raw[:, a : a + BLOCK] = sums[first[1:]] - sums[first[:-1]]
         ok = self.candidates[scripts(data, w)]
         n = ok.sum(axis=1, keepdims=True)
         mean = np.where(ok, raw, 0).sum(axis=1, keepdims=True) / np.maximum(n, 1)

@@ -15,8 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     """(text, label) of about `size` labelled rows at most, chosen by a hash of the id; staged.
 
     `training` is a condition on doc_id. Both sides are thinned before they are joined, so
-    no table of texts is shuffled. Of several labels of an id the largest counts; rows
-    without a label are left out.
+    no table of texts is shuffled. Of several labels of an id the largest counts, and of
+    several texts the least, so that rows are as few as ids; rows without a label are left out.
     """
     known = narrow(labels, doc_id="doc_id", label=label).where(F.col("label").isNotNull() & training)
     total = known.count()
@@ -24,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     chosen = place < int(_PARTS * min(1.0, size / max(total, 1)))
     known = known.where(chosen).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     texts = narrow(docs, doc_id="doc_id", text="text").where(training & chosen)
-    return staged(texts.join(known, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label", place.alias("place")), "labelled-sample")
+    texts = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return staged(texts.join(known, "doc_id").select("text", "label", place.alias("place")), "labelled-sample")
 
 
 def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opsdelta.llm import arrays as A
 from opsdelta.llm import language, quality, toxicity
 from opsdelta.llm.language import fold
+from opsdelta.llm.samples import labelled_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,6 +52,47 @@ def test_trigrams_stay_inside_words():
     assert [got[a:b].tolist() for a, b in zip(first[:-1], first[1:])][1:] == [want.tolist()] * 3
 
 
+def test_scripts_are_those_of_the_first_character_that_has_one():
+    numbers = {n: i for i, n in enumerate(language._NAMES)}
+    texts = ["2nd 42 99日本 «Слово» ෴සිංහල ខ្មែរ ລາວ x1 “quoted” 7", None, "", "ଓଡ଼ିଆ 1—2 3é " + "4" * 5000 + "b"]
+    _, _, data, offs = next(A.slices(pa.array(texts)))
+    w = A.words(data, offs)
+    for a, b, found in zip(w.starts, w.ends, language.scripts(data, w)):
+        named = (numbers[n] for c in bytes(data[a:b]).decode() for n, low, high in language.SCRIPTS if low <= ord(c) <= high)
+        assert found == next(named, 0), bytes(data[a:b])
+
+
+def test_word_scores_equal_plain_sums_over_many_languages():
+    random = np.random.default_rng(5)
+    words = ["".join(random.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    langs = [f"l{i:02}" for i in range(2 * language.BLOCK + 3)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(random.choice(words, 40)) for _ in langs], "lang": langs})
+    model = language.Model(pa.Table.from_batches(list(language._counts(iter([batch])))))
+    _, _, data, offs = next(A.slices(pa.array(["abcde 12 fghij jjjaa"])))
+    w = A.words(data, offs)
+    got = model.word_scores(data, w)
+    buckets, first = language.trigrams(data, w)
+    for i in range(len(w.starts)):
+        raw = sum(model.scores[b].astype(float) for b in buckets[first[i] : first[i + 1]])
+        lettered = bytes(data[w.starts[i] : w.ends[i]]).isalpha()
+        assert np.allclose(got[i], np.clip(raw - raw.mean(), -language.LIMIT, language.LIMIT) if lettered else 0.0, atol=1e-4)
+
+
+def test_language_in_a_script_of_its_own_and_behind_digits(spark):
+    rows = [("සිංහල භාෂාව ලංකාව", "si"), ("the quick brown fox", "en"), ("ພາສາລາວ ປະເທດ", "lo")] * 5
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [(1, "2භාෂාව 3සිංහල"), (2, "9ພາສາລາວ"), (3, "1quick 2fox")]
+    got = language.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "si", 2: "lo", 3: "en"}
+
+
+def test_a_sample_has_no_more_rows_than_ids(spark):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(500)] + [(2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (4, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", F.lit(True), 100).select("text", "label").collect()
+    assert sorted(tuple(r) for r in rows) == [("", 0), ("copy 0", 1)]
+
+
 def test_language(spark, docs, weird, empty):
     model = language.fitted(docs)
     rows = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").withColumn("held", fold("doc_id", 5) == 0)
