@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finding_id, fixed
-from ..session import cut_and_count, cut_lineage
+from ..session import cut_and_count, cut_lineage, staging_path
 
 
 def build_edges(dependencies: DataFrame, references: DataFrame) -> DataFrame:
@@ -66,44 +66,64 @@ def _arcs(resolved: DataFrame) -> DataFrame:
     return resolved.where("resolved").select(F.col("from").alias("src"), F.col("target").alias("dst")).distinct()
 
 
+def _on_paths(arcs: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Drop arcs that start at a node nobody points to or end at one that points nowhere.
+
+    No cycle holds such an arc. Dropping goes on while a round takes at least a tenth
+    of the arcs; what is left of long tails is for the labels to settle.
+    """
+    while size:
+        kept, left = cut_and_count(
+            arcs.join(arcs.select(F.col("src").alias("dst")), "dst", "left_semi")
+            .join(arcs.select(F.col("dst").alias("src")), "src", "left_semi")
+            .select("src", "dst")
+        )
+        done = left * 10 > size * 9
+        arcs, size = kept, left
+        if done:
+            break
+    return arcs, size
+
+
 def _reach_labels(arcs: DataFrame) -> DataFrame:
     """(id, up, down): least node that reaches each node, and least it reaches.
 
-    Both labels spread in the same rounds. A round also adopts the label of the
-    own label, so the distance covered doubles and long chains take few rounds.
-    All of it is one join of "who asks whom" with the labels, and one aggregate.
-    Rounds end in a reliable checkpoint; the driver only reads whether a label
-    changed.
+    Both labels spread in the same rounds, and a node starts with its own name. A
+    round joins and writes only the labels that fell in the round before: they go
+    along the arcs, to every node that carries the fallen node's name as its label,
+    and each fallen label is replaced by that node's own label. So the distance
+    covered doubles and long chains take few rounds. `known` holds what was ever
+    written; the least row of a node is its label. The driver only reads the number
+    of labels that fell.
     """
-    ends = arcs.select(F.col("src").alias("id")).union(arcs.select("dst")).distinct()
-    current = ends.select("id", F.col("id").alias("up"), F.col("id").alias("down"))
-    ask = lambda df, whom, who, up: df.select(
-        F.col(whom).alias("whom"), F.col(who).alias("id"), F.lit(up).alias("wants_up")
+    spark = arcs.sparkSession
+    folder = staging_path(spark, "labels")
+    along = arcs.select(F.col("src").alias("whom"), F.col("dst").alias("id"), F.lit(True).alias("is_up")).unionByName(
+        arcs.select(F.col("dst").alias("whom"), F.col("src").alias("id"), F.lit(False).alias("is_up"))
     )
-    along = ask(arcs, "src", "dst", True).unionByName(ask(arcs, "dst", "src", False))
-    none = F.lit(None).cast("string")
+    least = lambda df: df.groupBy("id", "is_up").agg(F.min("label").alias("label"))
+    told = least(along.select("id", "is_up", F.col("whom").alias("label"))).where(F.col("label") < F.col("id"))
+    paths: list[str] = []
     while True:
-        asked = along.unionByName(ask(current, "up", "id", True)).unionByName(ask(current, "down", "id", False))
-        answers = asked.join(
-            current.select(F.col("id").alias("whom"), F.col("up").alias("_up"), F.col("down").alias("_down")), "whom"
-        ).select(
-            "id",
-            F.when(F.col("wants_up"), F.col("_up")).alias("up"),
-            F.when(~F.col("wants_up"), F.col("_down")).alias("down"),
-            none.alias("was_up"),
-            none.alias("was_down"),
-        )
-        step, changed = cut_and_count(
-            current.withColumn("was_up", F.col("up"))
-            .withColumn("was_down", F.col("down"))
-            .unionByName(answers)
-            .groupBy("id")
-            .agg(*[F.min(c).alias(c) for c in ("up", "down", "was_up", "was_down")]),
-            (F.col("up") != F.col("was_up")) | (F.col("down") != F.col("was_down")),
-        )
-        current = step.select("id", "up", "down")
+        paths.append(f"{folder}/round-{len(paths)}")
+        fell, changed = cut_and_count(told, path=paths[-1])
+        known = spark.read.schema(fell.schema).parquet(*paths)
         if not changed:
-            return current
+            break
+        carriers = along.unionByName(known.select(F.col("label").alias("whom"), "id", "is_up"))
+        sent = carriers.join(fell.select(F.col("id").alias("whom"), "is_up", "label"), ["whom", "is_up"])
+        own = known.select(F.col("id").alias("whom"), "is_up", "label")
+        jumped = fell.select("id", "is_up", F.col("label").alias("whom")).join(own, ["whom", "is_up"])
+        news = least(sent.select("id", "is_up", "label").unionByName(jumped.select("id", "is_up", "label")))
+        held = least(known).withColumnRenamed("label", "_held")
+        told = (
+            news.join(held, ["id", "is_up"], "left")
+            .where(F.col("label") < F.coalesce("_held", "id"))
+            .select("id", "is_up", "label")
+        )
+    ends = arcs.select(F.col("src").alias("id")).union(arcs.select("dst")).distinct()
+    up, down = (F.coalesce(F.min(F.when(c, F.col("label"))), F.col("id")) for c in (F.col("is_up"), ~F.col("is_up")))
+    return ends.join(known, "id", "left").groupBy("id").agg(up.alias("up"), down.alias("down"))
 
 
 def components(resolved: DataFrame) -> DataFrame:
@@ -118,8 +138,11 @@ def components(resolved: DataFrame) -> DataFrame:
     everyone = arcs.select(F.col("src").alias("name")).union(arcs.select("dst")).distinct()
     live, size = cut_and_count(arcs.where(F.col("src") != F.col("dst")))
     found = None
-    while size:
-        labels = _reach_labels(live)
+    while True:
+        live, size = _on_paths(live, size)
+        if not size:
+            break
+        labels = cut_lineage(_reach_labels(live))
         members = labels.where(F.col("up") == F.col("down")).select(F.col("id").alias("name"), F.col("up").alias("component"))
         found = members if found is None else found.unionByName(members)
         open_ends = labels.where(F.col("up") != F.col("down"))
@@ -135,6 +158,17 @@ def components(resolved: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
+def _inner_arcs(arcs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Arcs between different nodes of one component; every one lies on a cycle."""
+    return cut_lineage(
+        arcs.where(F.col("src") != F.col("dst"))
+        .join(comp.select(F.col("name").alias("src"), F.col("component").alias("cs")), "src")
+        .join(comp.select(F.col("name").alias("dst"), F.col("component").alias("cd")), "dst")
+        .where(F.col("cs") == F.col("cd"))
+        .select("src", "dst")
+    )
+
+
 def cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     """Every elementary directed cycle once: (cycle array, length).
 
@@ -145,13 +179,7 @@ def cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     comp = components(resolved) if comp is None else comp
     arcs = _arcs(resolved)
     loops = arcs.where(F.col("src") == F.col("dst")).select(F.array("src").alias("cycle"))
-    inner = cut_lineage(
-        arcs.where(F.col("src") != F.col("dst"))
-        .join(comp.select(F.col("name").alias("src"), F.col("component").alias("cs")), "src")
-        .join(comp.select(F.col("name").alias("dst"), F.col("component").alias("cd")), "dst")
-        .where(F.col("cs") == F.col("cd"))
-        .select("src", "dst")
-    )
+    inner = _inner_arcs(arcs, comp)
     frontier = inner.where(F.col("dst") > F.col("src")).select(
         F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path")
     )
@@ -172,6 +200,51 @@ def cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     return found.withColumn("length", F.size("cycle").cast("bigint"))
 
 
+def shortest_cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """A shortest cycle through every arc that lies on one: (from, to, cycle, length).
+
+    One row an arc, where the list of all cycles may grow exponentially. The cycle
+    starts with the arc; among cycles of one length the least in name order counts.
+    Breadth-first search runs from the end of every arc in the same rounds. A search
+    keeps its first path to each node and ends when all arcs into its start are closed.
+    """
+    comp = components(resolved) if comp is None else comp
+    arcs = _arcs(resolved)
+    inner = _inner_arcs(arcs, comp)
+    loops = arcs.where(F.col("src") == F.col("dst")).select(
+        F.col("src").alias("from"), F.col("dst").alias("to"), F.array("src").alias("cycle")
+    )
+    spark = inner.sparkSession
+    folder = staging_path(spark, "searches")
+    steps = inner.select(F.col("src").alias("end"), F.col("dst").alias("next"))
+    wanted = inner.select(F.col("src").alias("end"), F.col("dst").alias("start"))
+    reached = steps.select(F.col("end").alias("start"), F.col("next").alias("end"), F.array("end", "next").alias("path"))
+    paths: list[str] = []
+    while True:
+        paths.append(f"{folder}/round-{len(paths)}")
+        frontier, size = cut_and_count(reached, path=paths[-1])
+        seen = spark.read.schema(frontier.schema).parquet(*paths)
+        if not size:
+            break
+        open_starts = wanted.join(seen.select("start", "end"), ["start", "end"], "left_anti").select("start")
+        reached = (
+            frontier.join(open_starts, "start", "left_semi")
+            .join(steps, "end")
+            .where(F.col("next") != F.col("start"))
+            .groupBy("start", F.col("next").alias("end"))
+            .agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+            .join(seen.select("start", "end"), ["start", "end"], "left_anti")
+            .select("start", "end", "path")
+        )
+    # the path leads from the arc's end to its start, which comes first in the cycle
+    closed = wanted.join(seen, ["start", "end"]).select(
+        F.col("end").alias("from"),
+        F.col("start").alias("to"),
+        F.concat(F.array("end"), F.slice("path", F.lit(1), F.size("path") - 1)).alias("cycle"),
+    )
+    return loops.unionByName(closed).withColumn("length", F.size("cycle").cast("bigint"))
+
+
 def missing_dependencies(unresolved_edges: DataFrame) -> DataFrame:
     """A finding per unresolved edge; bundled names (nine, fixed) are only INFO."""
     bundled = F.lower(F.col("to")).isin(fixed.BUNDLED_RESOURCES)

@@ -86,6 +86,17 @@ def _(spark, sf):
     return c.select("id", "resource", "severity", "confidence", "rendered", F.size("evidence").cast("bigint").alias("evidence_count"))
 
 
+@query(
+    "shortest_cycles",
+    CYCLES
+    + """, turned as (select list_concat(c[i:], c[:i - 1]) as c from (select c, unnest(range(1, len(c) + 1)) as i from (select string_split(cycle, ',') as c from found))),
+    ways as (select c[1] as "from", c[case when len(c) = 1 then 1 else 2 end] as "to", c, len(c) as length from turned)
+    select "from", "to", array_to_string(arg_min(c, {'n': length, 'c': c}), ',') as cycle, min(length)::BIGINT as length from ways group by 1, 2""",
+)
+def _(spark, sf):
+    return GR.shortest_cycles(resolved(spark, sf)).withColumn("cycle", F.array_join("cycle", ","))
+
+
 @query(
     "scc",
     """with recursive reach as (

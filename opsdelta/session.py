@@ -61,9 +61,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return cut_and_count(df)[0]
 
 
-def cut_and_count(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+def cut_and_count(df: DataFrame, where: Column | None = None, path: str | None = None) -> tuple[DataFrame, int]:
     """`cut_lineage` that also counts rows (those matching `where`) as it writes."""
-    path = staging_path(df.sparkSession, "round")
+    path = path or staging_path(df.sparkSession, "round")
     seen = Observation()
     counted = F.count(F.lit(1)) if where is None else F.count_if(where)
     df.observe(seen, counted.alias("n")).write.parquet(path)

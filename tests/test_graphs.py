@@ -129,3 +129,53 @@ def test_code_rules(spark, rows):
     assert {r["id"]: r["loop_start"] for r in CR.enclosing(pos, loops).collect()} == {1: 5, 2: 0, 3: None, 4: None}
     files = spark.createDataFrame([("a/b.EXE", 1), ("c.lua", 1), ("d", 1), ("e.tar.gz", 1)], "path string, size_bytes long")
     assert sorted((r["path"], r["kind"]) for r in CR.suspicious_files(files).collect()) == [("a/b.EXE", "EXECUTABLE"), ("e.tar.gz", "ARCHIVE")]
+
+
+def test_components_of_chains_rings_and_tails(spark):
+    rnd = random.Random(5)
+    names = [f"n{i:03d}" for i in range(120)]
+    rnd.shuffle(names)
+    chain = list(zip(names[:50], names[1:50]))
+    ring = list(zip(names[50:90], names[51:90])) + [(names[89], names[50])]
+    pairs = chain + ring + [(names[49], names[50]), (names[70], names[95]), (names[96], names[97]), (names[97], names[96])]
+    got = {r["name"]: r["component"] for r in GR.components(graph(spark, pairs)).collect()}
+    want = {n: n for p in pairs for n in p}
+    want.update({n: min(names[50:90]) for n in names[50:90]})
+    want.update({n: min(names[96:98]) for n in names[96:98]})
+    assert got == want
+    tail = {r["name"]: r["component"] for r in GR.components(graph(spark, chain)).collect()}
+    assert tail == {n: n for n in names[:50]}
+    assert GR.components(graph(spark, chain).limit(0)).count() == 0
+
+
+def shortest(pairs):
+    """The shortest cycle through each arc, the least of equal ones, by search over paths."""
+    found = {}
+    for a, b in set(pairs):
+        if a == b:
+            found[a, b] = (a,)
+        front, seen = [(b,)], {b}
+        while front and (a, b) not in found:
+            grown = sorted(p + (d,) for p in front for s, d in set(pairs) if s == p[-1] and d not in seen)
+            first = {}
+            for p in grown:
+                first.setdefault(p[-1], p)
+            if a in first:
+                found[a, b] = (a,) + first[a][:-1]
+            seen |= set(first)
+            front = list(first.values())
+    return found
+
+
+def test_shortest_cycles(spark):
+    rnd = random.Random(8)
+    names = [f"n{i:02d}" for i in range(14)]
+    pairs = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(30)}) + [("n00", "n00")]
+    get = lambda p: {(r["from"], r["to"]): tuple(r["cycle"]) for r in GR.shortest_cycles(graph(spark, p)).collect()}
+    want = shortest(pairs)
+    assert get(pairs) == want and len({len(c) for c in want.values()}) > 2
+    # thirty nodes that all depend on each other: one row an arc, where all cycles would never end
+    names = [f"n{i:02d}" for i in range(30)]
+    dense = [(a, b) for a in names for b in names if a != b]
+    assert get(dense) == {(a, b): (a, b) for a, b in dense}
+    assert get([("a", "b"), ("b", "c")]) == {}
