@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compact, deterministic_id, set_digest
-from .joins import interval_join
+from .joins import disjoint_join
 
 WEEK_US = 7 * 86_400_000_000
 
@@ -37,7 +37,7 @@ def claim_samples(samples: DataFrame, baselines: DataFrame) -> DataFrame:
             (F.unix_micros("created_at") + 1).alias("_span_hi"),
         )
     )
-    joined = interval_join(
+    joined = disjoint_join(
         points, spans, ["server_id"], F.col("_known"), F.col("_span_lo"), F.col("_span_hi"), WEEK_US, "left"
     )
     return joined.drop("_known", "_span_lo", "_span_hi")

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from opsdelta.operators.joins import interval_join, near_join
+from opsdelta.operators.joins import disjoint_join, interval_join, near_join, span_blocks
 from opsdelta.operators.ordered import ranked, sessionize, with_previous
 
 T0 = dt.datetime(2024, 1, 1)
@@ -70,3 +70,27 @@ def test_range_joins_equal_the_nested_loop(spark, rows):
     want = sorted((p[2], s["j"]) for p in a for s in spans.collect() if p[0] == s["k"] and s["lo"] <= p[1] < s["hi"])
     got = interval_join(left, spans, ["k"], F.col("x"), F.col("lo"), F.col("hi"), 16).select("i", "j")
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_interval_join_of_short_and_long_spans(spark):
+    rnd = random.Random(11)
+    points = [(i, "ab"[i % 2], rnd.randrange(-5000, 2_000_000) if i % 3 else rnd.randrange(-200, 300)) for i in range(400)] + [(400, "a", None)]
+    spans = [(0, "a", -5000, 1_000_000), (1, "b", 0, 1), (2, "a", 5, 5), (3, "a", -64, 64), (4, "b", -1, 65), (5, "b", 255, 257)]
+    for j in range(6, 60):
+        lo = rnd.randrange(-300, 300)
+        spans.append((j, "ab"[j % 2], lo, lo + rnd.choice([1, 2, 63, 64, 65, 256, 300, 4096, 70_000, 1_500_000])))
+    p = spark.createDataFrame(points, "i long, k string, x long")
+    s = spark.createDataFrame(spans, "j long, k string, lo long, hi long")
+    got = interval_join(p, s, ["k"], F.col("x"), F.col("lo"), F.col("hi"), 64).select("i", "j")
+    want = [(i, j) for i, k, x in points for j, kk, lo, hi in spans if k == kk and x is not None and lo <= x < hi]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    blocks = s.where("hi > lo").select(F.size(span_blocks(F.col("lo"), F.col("hi"), 64)).alias("n"))
+    assert blocks.agg(F.max("n")).first()[0] == 2
+    assert interval_join(p, s.limit(0), ["k"], F.col("x"), F.col("lo"), F.col("hi"), 64).count() == 0
+
+
+def test_disjoint_join_keeps_points_outside(spark, rows):
+    p = spark.createDataFrame([(1, "a", 3), (2, "a", 900), (3, "b", 3), (4, "a", None)], "i long, k string, x long")
+    s = spark.createDataFrame([("u", "a", 0, 10), ("v", "a", 10, 300)], "j string, k string, lo long, hi long")
+    got = disjoint_join(p, s, ["k"], F.col("x"), F.col("lo"), F.col("hi"), 16, "left").select("i", "j")
+    assert rows(got) == [(1, "u"), (2, None), (3, None), (4, None)]
