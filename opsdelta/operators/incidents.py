@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compact, deterministic_id, fixed, format_duration, js_round
 from .joins import near_join
-from .ordered import sessionize
+from .ordered import last_within, sessionize
 
 DEFAULT_WINDOW_MS = 30 * 60 * 1000
 SIDE = ["id", "kind", "occurred_at", "resource", "description"]
@@ -76,51 +76,42 @@ def strongest_links(signals: DataFrame, window_ms: int = DEFAULT_WINDOW_MS) -> D
     For a given effect only four classes of change can win: same resource or
     not, configuration or not. Within a class an earlier change is better the
     later it is, and later changes all score alike (the furthest sorts first).
-    So the nearest earlier and the furthest later change per class decide, and
-    those are running aggregates over sorted time slices instead of a join of
-    all pairs.
+    So the nearest earlier and the furthest later change per class decide. Both
+    are the last change at or before a time: that of the effect, and one window
+    after it. Simultaneous changes of a class fold to the least id and equal
+    questions to one row before anything is sorted, so a busy server costs no
+    more than its distinct times. Signals without a server have no links.
     """
     timed = (
-        signals.where(F.col("occurred_at").isNotNull())
+        signals.where(F.col("occurred_at").isNotNull() & F.col("server_id").isNotNull())
         .withColumn("role", signal_role())
         .where(F.col("role") != "NEITHER")
         .select("server_id", *SIDE, "role", F.unix_millis("occurred_at").alias("_ms"))
+        # the two scopes: changes of any resource, and of the same one
+        .withColumn(
+            "_scope",
+            F.explode(
+                F.array_compact(F.array(F.lit(""), F.when(F.col("resource").isNotNull(), F.concat(F.lit("="), "resource"))))
+            ),
+        )
     )
-    slot = lambda at: F.floor(at / F.lit(window_ms)).cast("bigint")
-    # A change serves the slices before, of and after it. An effect asks twice:
-    # at its own time (nearest earlier) and one window on (furthest later).
+    keys = ["server_id", "_scope", "_config"]
     changes = (
         timed.where(F.col("role") == "CHANGE")
-        .withColumn("_at", F.col("_ms"))
-        .withColumn("_far", F.lit(False))
-        .withColumn("_slice", F.explode(F.sequence(slot(F.col("_at")) - 1, slot(F.col("_at")) + 1)))
+        .groupBy("server_id", "_scope", (F.col("kind") == "CONFIG_CHANGED").alias("_config"), F.col("_ms").alias("_at"))
+        .agg(F.min_by(F.struct("_ms", *SIDE), "id").alias("_c"))
     )
     effects = (
         timed.where(F.col("role") == "EFFECT")
+        .withColumn("_config", F.explode(F.array(F.lit(False), F.lit(True))))
         .withColumn("_far", F.explode(F.array(F.lit(False), F.lit(True))))
         .withColumn("_at", F.when(F.col("_far"), F.col("_ms") + F.lit(window_ms)).otherwise(F.col("_ms")))
-        .withColumn("_slice", slot(F.col("_at")))
     )
-    rows = changes.unionByName(effects)
-    candidates = []
-    for scope in ("any", "same"):
-        keys = ["server_id", "_slice"] + (["resource"] if scope == "same" else [])
-        so_far = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-        for config in (False, True):
-            change = (F.col("role") == "CHANGE") & ((F.col("kind") == "CONFIG_CHANGED") == F.lit(config))
-            if scope == "same":
-                change = change & F.col("resource").isNotNull()
-            name = f"_{scope}_{int(config)}"
-            # latest change; the smallest id among simultaneous ones
-            latest = F.max_by(F.when(change, F.struct("_ms", *SIDE)), F.when(change, F.struct("_ms", -F.col("id"))))
-            rows = rows.withColumn(name, latest.over(so_far))
-            candidates.append(name)
+    found = last_within(changes, effects.select(*keys, "_at").distinct(), keys, "_at", "_c", window_ms)
     delta = F.col("_ms") - F.col("_c._ms")
-    allowed = F.when(F.col("_far"), (delta < 0) & (delta >= -window_ms)).otherwise((delta >= 0) & (delta <= window_ms))
     links = (
-        rows.where(F.col("role") == "EFFECT")
-        .withColumn("_c", F.explode(F.array(*candidates)))
-        .where(F.col("_c").isNotNull() & allowed)
+        effects.join(found, [*keys, "_at"])
+        .where(~F.col("_far") | (delta < 0))
         .select(
             "server_id",
             *[F.col(c).alias(f"effect_{c}") for c in SIDE],

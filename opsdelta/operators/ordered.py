@@ -108,3 +108,37 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_ms: int, span: str =
         *keys, "_t", F.coalesce("_local", "_carry").alias("session_start")
     )
     return df.join(spans.withColumnRenamed("_t", ts), [*keys, ts])
+
+
+def last_within(
+    facts: DataFrame, asks: DataFrame, keys: list[str], at: str, value: str, reach: int, parts: int = 64
+) -> DataFrame:
+    """(keys, at, value) for each ask whose last fact at or before it is at most `reach` back.
+
+    `facts` hold one row per keys and `at` (a whole number), `asks` are distinct keys and
+    `at`; no key is NULL. Time is cut into parts of `reach / parts`. Inside a part the last
+    fact runs along the sorted times; the last fact of the parts before it, `parts` to
+    twice as many, comes from one row a part. So the rows one task must see together are
+    bounded by the times in a part and by the number of parts, however busy a key is.
+    """
+    width = -(-reach // parts)
+    part = F.floor(F.col(at) / F.lit(width)).cast("bigint")
+    own_slice = F.floor(F.col("_part") / F.lit(parts)).cast("bigint")
+    told = facts.select(*keys, at, part.alias("_part"), F.struct(F.col(at).alias("at"), value).alias("_fact"))
+    asked = asks.select(*keys, at, part.alias("_part"), F.lit(None).cast(told.schema["_fact"].dataType).alias("_fact"))
+    both = told.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)))
+    so_far = Window.partitionBy(*keys, "_part").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_in", F.last("_fact", ignorenulls=True).over(so_far)).where("_ask").drop("_fact", "_ask")
+    tails = (
+        both.groupBy(*keys, "_part", "_ask")
+        .agg(F.max_by("_fact", at).alias("_tail"))
+        .withColumn("_slice", F.explode(F.when(F.col("_ask"), F.array(own_slice)).otherwise(F.array(own_slice, own_slice + 1))))
+    )
+    earlier = Window.partitionBy(*keys, "_slice").orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    carried = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).where("_ask").select(*keys, "_part", "_carry")
+    return (
+        inside.join(carried, [*keys, "_part"])
+        .withColumn("_found", F.coalesce("_in", "_carry"))
+        .where(F.col(at) - F.col("_found.at") <= F.lit(reach))
+        .select(*keys, at, F.col(f"_found.{value}").alias(value))
+    )

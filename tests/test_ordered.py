@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opsdelta.operators.joins import disjoint_join, interval_join, near_join, span_blocks
-from opsdelta.operators.ordered import ranked, sessionize, with_previous
+from opsdelta.operators.ordered import last_within, ranked, sessionize, with_previous
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -94,3 +94,20 @@ def test_disjoint_join_keeps_points_outside(spark, rows):
     s = spark.createDataFrame([("u", "a", 0, 10), ("v", "a", 10, 300)], "j string, k string, lo long, hi long")
     got = disjoint_join(p, s, ["k"], F.col("x"), F.col("lo"), F.col("hi"), 16, "left").select("i", "j")
     assert rows(got) == [(1, "u"), (2, None), (3, None), (4, None)]
+
+
+def test_last_within_equals_a_search(spark):
+    rnd = random.Random(21)
+    facts = {("hot" if rnd.random() < 0.8 else "q", rnd.randrange(-4000, 4000)): i for i in range(300)}
+    asks = {("hot" if rnd.random() < 0.8 else "z", rnd.randrange(-4200, 4200)) for _ in range(500)} | set(list(facts)[:40])
+    f = spark.createDataFrame([(k, at, f"v{v}") for (k, at), v in facts.items()], "k string, at long, v string")
+    a = spark.createDataFrame(sorted(asks), "k string, at long")
+    for reach, parts in ((1000, 64), (37, 4), (1, 64)):
+        want = []
+        for k, at in asks:
+            near = [t for kk, t in facts if kk == k and at - reach <= t <= at]
+            if near:
+                want.append((k, at, f"v{facts[k, max(near)]}"))
+        got = last_within(f, a, ["k"], "at", "v", reach, parts)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert last_within(f.limit(0), a, ["k"], "at", "v", 10).count() == 0
