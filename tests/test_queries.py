@@ -66,3 +66,21 @@ def test_plans_push_filters_and_prune_columns(spark):
 def test_correlation_never_nests_loops(spark):
     plans = [QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString() for n in ("correlate", "proximity_pairs", "enclosing_interval", "claim_samples")]
     assert not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
+def _with_events(folder, sql):
+    """The small tables with other `events`; their path and a DuckDB connection."""
+    import duckdb
+
+    for n in os.listdir(SF):
+        if n != "events.parquet":
+            os.symlink(f"{SF}/{n}", folder / n)
+    duckdb.sql(sql.format(events=f"'{SF}/events.parquet'")).write_parquet(str(folder / "events.parquet"))
+    return str(folder), duck(str(folder))
+
+
+@pytest.mark.parametrize("name", ["ingest_once", "ingest_ledger", "runtime_state"])
+def test_equal_content_in_other_files_is_imported_once(spark, tmp_path, name):
+    copies = "select * replace (event_id + 100000 * i as event_id) from {events}, (select unnest(range(3)) as i)"
+    sf, con = _with_events(tmp_path, copies)
+    assert compare(QUERIES[name](spark, sf), con, ORACLES[name]) is None
