@@ -13,10 +13,24 @@ from ..session import cut_lineage
 STATS = ["sample_count", "mean", "median", "p95", "min", "max", "standard_deviation", "coefficient_of_variation"]
 
 
-def moments(value: str, where: Column | None = None) -> dict[str, Column]:
+def moments(value: str, where: Column | None = None, mean=F.avg) -> dict[str, Column]:
     """Count, mean and population deviation as combinable aggregates."""
     v = F.when(finite(value) & where if where is not None else finite(value), F.col(value))
-    return {"n": F.count(v), "mean": F.coalesce(F.avg(v), F.lit(0.0)), "sd": F.coalesce(F.stddev_pop(v), F.lit(0.0))}
+    return {"n": F.count(v), "mean": F.coalesce(mean(v), F.lit(0.0)), "sd": F.coalesce(F.stddev_pop(v), F.lit(0.0))}
+
+
+def exact_sum(v: Column) -> Column:
+    """A sum that no order of the rows changes: values count in millionths.
+
+    Sums of doubles differ in their last digit from run to run, which shows where they are
+    rounded for display. If a value is no DECIMAL(28,6), the sum is that of doubles.
+    """
+    d = v.try_cast("decimal(28,6)")
+    return F.when(F.count(d) == F.count(v), F.sum(d).cast("double")).otherwise(F.sum(v))
+
+
+def exact_mean(v: Column) -> Column:
+    return F.try_divide(exact_sum(v), F.count(v).cast("double"))
 
 
 def variation(sd: Column, mean: Column) -> Column:

@@ -84,3 +84,13 @@ def test_equal_content_in_other_files_is_imported_once(spark, tmp_path, name):
     copies = "select * replace (event_id + 100000 * i as event_id) from {events}, (select unnest(range(3)) as i)"
     sf, con = _with_events(tmp_path, copies)
     assert compare(QUERIES[name](spark, sf), con, ORACLES[name]) is None
+
+
+def test_percentages_do_not_hang_on_the_order_of_sums(spark, tmp_path):
+    # added up as doubles in this order the change rounds to +934.38%
+    rows = [("click", v) for v in (3.9, 7.31, 6.71)] + [("view", v) for v in (84.02, 29.32, 72.02)]
+    values = ", ".join(f"({i}, '{kind}', {v}::DOUBLE)" for i, (kind, v) in enumerate(rows))
+    sf, con = _with_events(tmp_path, "select e.* replace (n.i as event_id, 1 as user_id, n.kind as event_type, n.v as value) from "
+                           f"(select * from {{events}} limit 1) e, (values {values}) n(i, kind, v) order by n.i")
+    df = QUERIES["format_percentage"](spark, sf)
+    assert [r["change"] for r in df.collect()] == ["+934.37%"] and compare(df, con, ORACLES["format_percentage"]) is None
