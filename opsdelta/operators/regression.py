@@ -24,17 +24,18 @@ class Thresholds:
     max_player_delta: float | None = None
 
 
-def compare_windows(samples: DataFrame, side: str = "side", keys: list[str] = KEYS) -> DataFrame:
+def compare_windows(samples: DataFrame, side: str = "side", keys: list[str] = KEYS, mean=F.avg) -> DataFrame:
     """Moments of both windows in one pass over rows tagged 'before' or 'after'.
 
     Conditional aggregates replace two groupings and a full outer join, and the
     partial aggregation keeps a hot metric from reaching one task. Other tags
     (or NULL) are ignored. The unit is that of the earlier window when it has one.
+    Text made of the means wants `stats.exact_mean` as `mean`.
     """
     aggs = []
     for tag in ("before", "after"):
         here = F.col(side) == tag
-        m = moments("value", here)
+        m = moments("value", here, mean)
         aggs += [
             F.count(F.when(here, F.lit(1))).alias(f"{tag}_rows"),
             m["n"].alias(f"{tag}_count"),

@@ -113,3 +113,13 @@ def test_nothing_to_compare_is_said(spark):
     a, b = RG.compared_guard(none).first(), RG.compared_guard(half).first()
     assert not a["compared"] and not b["compared"] and a["reason"] != b["reason"]
     assert RG.compared_guard(half.unionByName(spark.createDataFrame(stable("r", "after", 1.0), S))).first()["reason"] is None
+
+
+def test_explained_means_do_not_hang_on_the_order_of_sums(spark):
+    q = [26, 8, 17, 8, 8, 6, 40, 22, 42, 26, 14, 45, 7, 2, 40, 43]
+    # added up as doubles in this order the mean rounds to 6.637; it is 6.6375
+    rows = [("a", "m", 0.3 * x, "ms", None, "before") for x in q] + [("a", "m", 90.0, "ms", None, "after")] * 8
+    judged = RG.judge(RG.compare_windows(spark.createDataFrame(rows, S).coalesce(1), mean=ST.exact_mean))
+    assert "6.638 to 90.000 ms" in RG.explain_verdict(judged).first()["explanation"]
+    odd = spark.createDataFrame([(1e300,), (0.5,), (None,)], "v double")
+    assert odd.agg(ST.exact_sum(F.col("v")).alias("s"), ST.exact_mean(F.col("v")).alias("m")).first() == (1e300, 5e299)
