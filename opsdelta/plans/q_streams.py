@@ -37,6 +37,9 @@ def _(spark, sf):
     return spark.read.parquet(path).select("server_id", "path", "digest", "sample_count", "event_count")
 
 
+BATCHES = 3
+
+
 @query(
     "stream_ingest_rows",
     f"""select server_id, sum(sample_count)::BIGINT as samples, sum(event_count)::BIGINT as events from (
@@ -46,8 +49,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Stored samples and events of a stream that arrives in several batches."""
     files = staging_path(spark, "event-files")
-    V.table(spark, sf, "events").repartition(6, "event_id").write.parquet(files)
-    stream = SS.read_files_stream(spark, files, 2).withColumn("ts", F.col("ts").cast("timestamp"))
+    each = max(2, spark.sparkContext.defaultParallelism)  # files a batch: one task reads a file
+    V.table(spark, sf, "events").repartition(BATCHES * each, "event_id").write.parquet(files)
+    stream = SS.read_files_stream(spark, files, each).withColumn("ts", F.col("ts").cast("timestamp"))
     ledger, samples, rows = (staging_path(spark, n) for n in ("ledger", "samples", "event-rows"))
     SS.ingest_stream(V.event_documents(stream), ledger, staging_path(spark, "ledger-state"), None, samples, rows).awaitTermination()
     counted = lambda path, n: spark.read.parquet(path).select("server_id", F.lit(n).alias("n"))

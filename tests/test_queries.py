@@ -94,3 +94,18 @@ def test_percentages_do_not_hang_on_the_order_of_sums(spark, tmp_path):
                            f"(select * from {{events}} limit 1) e, (values {values}) n(i, kind, v) order by n.i")
     df = QUERIES["format_percentage"](spark, sf)
     assert [r["change"] for r in df.collect()] == ["+934.37%"] and compare(df, con, ORACLES["format_percentage"]) is None
+
+
+def test_a_streamed_batch_has_a_file_for_every_core(spark, monkeypatch):
+    from opsdelta.plans import q_streams as QS
+
+    seen, read = [], QS.SS.read_files_stream
+
+    def watched(session, folder, max_files):
+        seen.append((max_files, len([n for n in os.listdir(folder) if n.endswith(".parquet")])))
+        return read(session, folder, max_files)
+
+    monkeypatch.setattr(QS.SS, "read_files_stream", watched)
+    assert QUERIES["stream_ingest_rows"](spark, SF).count() > 0
+    cores = spark.sparkContext.defaultParallelism
+    assert seen[0][0] >= cores and seen[0][1] > 2 * cores
