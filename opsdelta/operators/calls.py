@@ -18,6 +18,9 @@ _NUMBER = r"0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.:][A-Za-z_][A-Za-z0-9_]*+)*+"
 #: A line comment, string, qualified name, number, bracket or mark, run of line breaks, or other characters.
 TOKEN = rf"--[^\n]*+|{_STRING}|{_NAME}|{_NUMBER}|[\[\](){{}},.:-]|\n++|[^\x09-\x0D\x20\"'A-Za-z0-9_\[\](){{}},.:-]++|[\"']"
+_GAP = r"[^\n\"'0-9A-Za-z_\[\](){}-]++"
+#: Names and marks between them, but for the last two names: what a call or a number looks back at stays apart.
+_PROSE = rf"(?:{_NAME}{_GAP}(?={_NAME}{_GAP}{_NAME}))++"
 #: Without a name before a bracket or a string a text has no call.
 MAY_CALL = r"[A-Za-z0-9_][\x09-\x0D\x20]*+[\"'({]"
 
@@ -27,8 +30,16 @@ def _is_name(token: Column) -> Column:
 
 
 def token_stream(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, token, step, line, depth) without blanks and comments; depth is that before the token."""
-    found = docs.where(F.col(text).rlike(MAY_CALL)).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), 0)).alias("pos", "token"))
+    """(key, pos, token, step, line, depth) without blanks and comments; depth is that before the token.
+
+    Prose is one token a stretch, taken where the first of its names would be: to the calls
+    around it a stretch says no more than one name does.
+    """
+    found = docs.where(F.col(text).rlike(MAY_CALL)).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"{_PROSE}|{TOKEN}"), 0)).alias("pos", "token"))
+    # comments count nothing, and of a stretch of prose its first letter is enough
+    found = found.where(~F.startswith("token", F.lit("--"))).withColumn(
+        "token", F.when(F.col("token").rlike("^[A-Za-z_].*[^A-Za-z0-9_.:]"), F.substring("token", 1, 1)).otherwise(F.col("token"))
+    )
     step = F.when(F.col("token").isin("(", "[", "{"), 1).when(F.col("token").isin(")", "]", "}"), -1).otherwise(0)
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.when(F.startswith("token", F.lit("\n")), F.length("token")).otherwise(0)
@@ -36,7 +47,7 @@ def token_stream(docs: DataFrame, key: str, text: str) -> DataFrame:
         key, "pos", "token", step.alias("step"),
         (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).alias("line"), F.coalesce(F.sum(step).over(before), F.lit(0)).alias("depth"),
     )
-    return placed.where(~F.startswith("token", F.lit("\n")) & ~F.startswith("token", F.lit("--")))
+    return placed.where(~F.startswith("token", F.lit("\n")))
 
 
 def call_sites(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -150,3 +150,14 @@ def test_calls_of_nested_text_reach_the_rules(spark):
 def test_call_sites_need_one_shuffle_and_no_python(spark):
     plan = CS.call_sites(spark.createDataFrame([(1, "f(1)")], "doc_id long, text string"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_prose_costs_no_token_a_word(spark):
+    from opsdelta.operators import calls as CS
+
+    prose = "Viele Wörter, und noch mehr: alles ohne Aufruf! " * 200
+    text = f'{prose}a.b . run("x", 1) {prose}\nf(one two three, four -5, g{{}}) {prose}'
+    docs = spark.createDataFrame([("d", text)], "file string, text string")
+    assert CS.token_stream(docs, "file", "text").count() < 60
+    got = sorted(tuple(r)[1:] for r in CS.call_sites(docs, "file", "text").collect())
+    assert got == [(2, "f", [], ["5"], True), (2, "g", [], [], True)]
