@@ -126,25 +126,93 @@ def _reach_labels(arcs: DataFrame) -> DataFrame:
     return ends.join(known, "id", "left").groupBy("id").agg(up.alias("up"), down.alias("down"))
 
 
+#: A node that reaches at most so many is settled by its own list of them.
+REACH = 64
+
+
+def _small_reach(arcs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(name, component) of the nodes that reach at most REACH others, and the arcs between the rest.
+
+    Each node keeps the list of all it reaches. A round adds the lists of the nodes that
+    the round before added, so the distance covered doubles; a list that stays as it is
+    is complete, and its node is read but not written again. A node whose list outgrows
+    REACH is left to the labels, and so is every node that reaches it. Two nodes on
+    cycles share a component if and only if their lists are equal. No list and no join
+    of lists holds more than REACH or its square of names.
+    """
+    spark = arcs.sparkSession
+    folder = staging_path(spark, "reach")
+    few = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    told = (
+        arcs.join(few.where(F.col("_n") <= REACH).select("src"), "src", "left_semi")
+        .groupBy(F.col("src").alias("id"))
+        .agg(F.array_sort(F.collect_list("dst")).alias("reach"))
+        .withColumn("fresh", F.col("reach"))
+        .unionByName(few.where(F.col("_n") > REACH).select(F.col("src").alias("id")), allowMissingColumns=True)
+    )
+    is_open = F.coalesce(F.size("fresh"), F.lit(0)) > 0
+    paths: list[str] = []
+    while True:
+        paths.append(f"{folder}/round-{len(paths)}")
+        now, left = cut_and_count(told, is_open, paths[-1])
+        known = spark.read.schema(now.schema).parquet(*paths[:-1]).where(~is_open).unionByName(now) if paths[:-1] else now
+        if not left:
+            break
+        more = known.select(F.col("id").alias("via"), F.col("reach").alias("_more"))
+        gained = (
+            now.where(is_open)
+            .select("id", F.explode("fresh").alias("via"))
+            .join(more, "via")  # a node without arcs out has no list
+            .groupBy("id")
+            .agg(F.array_distinct(F.flatten(F.collect_list("_more"))).alias("_more"), F.bool_or(F.col("_more").isNull()).alias("_big"))
+        )
+        new = F.array_except(F.coalesce("_more", F.array().cast("array<string>")), "reach")
+        fits = ~F.coalesce("_big", F.lit(False)) & (F.size("reach") + F.size("_new") <= REACH)
+        told = (
+            now.where(is_open)
+            .join(gained, "id", "left")
+            .withColumn("_new", new)
+            .select(
+                "id",
+                F.when(fits, F.array_sort(F.concat("reach", "_new"))).alias("reach"),
+                F.when(fits, F.col("_new")).alias("fresh"),
+            )
+        )
+    done = known.where(F.col("reach").isNotNull())
+    cyclic = done.where(F.array_contains("reach", F.col("id")))
+    groups = cyclic.groupBy("reach").agg(F.min("id").alias("component"), F.collect_list("id").alias("_members"))
+    alone = done.where(~F.array_contains("reach", F.col("id"))).select(F.col("id").alias("name"), F.col("id").alias("component"))
+    settled = groups.select(F.explode("_members").alias("name"), "component").unionByName(alone)
+    big = known.where(F.col("reach").isNull())
+    rest, size = cut_and_count(
+        arcs.join(big.select(F.col("id").alias("src")), "src", "left_semi").join(big.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    )
+    return settled, rest, size
+
+
 def components(resolved: DataFrame) -> DataFrame:
-    """(name, component): strongly connected components, named by least member.
+    """(name, component): strongly connected components, named by least member."""
+    return _components(cut_lineage(_arcs(resolved)))
 
-    A node whose two labels agree reaches that node and is reached by it, so it
-    belongs to its component. Arcs between nodes with different labels lie on
-    no cycle and are dropped; the rest goes into the next phase. Nodes on no
-    cycle end as components of their own.
+
+def _components(arcs: DataFrame) -> DataFrame:
+    """The components that arcs without repeats form.
+
+    Nodes that reach few others are settled first, by lists. For the rest, a node
+    whose two labels agree reaches that node and is reached by it, so it belongs to
+    its component. Arcs between nodes with different labels lie on no cycle and are
+    dropped; the rest goes into the next phase. Nodes on no cycle end as components
+    of their own.
     """
-    arcs = cut_lineage(_arcs(resolved))
     everyone = arcs.select(F.col("src").alias("name")).union(arcs.select("dst")).distinct()
-    live, size = cut_and_count(arcs.where(F.col("src") != F.col("dst")))
-    found = None
+    found, live, size = _small_reach(arcs.where(F.col("src") != F.col("dst")))
     while True:
         live, size = _on_paths(live, size)
         if not size:
             break
         labels = cut_lineage(_reach_labels(live))
         members = labels.where(F.col("up") == F.col("down")).select(F.col("id").alias("name"), F.col("up").alias("component"))
-        found = members if found is None else found.unionByName(members)
+        found = found.unionByName(members)
         open_ends = labels.where(F.col("up") != F.col("down"))
         live, size = cut_and_count(
             live.join(open_ends.select(F.col("id").alias("src"), F.col("up").alias("_u1"), F.col("down").alias("_d1")), "src")
@@ -152,8 +220,7 @@ def components(resolved: DataFrame) -> DataFrame:
             .where((F.col("_u1") == F.col("_u2")) & (F.col("_d1") == F.col("_d2")))
             .select("src", "dst")
         )
-    if found is None:
-        return everyone.select("name", F.col("name").alias("component"))
+    found = cut_lineage(found)
     rest = everyone.join(found, "name", "left_anti").withColumn("component", F.col("name"))
     return found.unionByName(rest)
 
@@ -176,8 +243,8 @@ def cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     so rotations never arise. Only arcs inside one component are walked, which
     keeps acyclic parts (where paths multiply) out of the search.
     """
-    comp = components(resolved) if comp is None else comp
-    arcs = _arcs(resolved)
+    arcs = cut_lineage(_arcs(resolved))
+    comp = _components(arcs) if comp is None else comp
     loops = arcs.where(F.col("src") == F.col("dst")).select(F.array("src").alias("cycle"))
     inner = _inner_arcs(arcs, comp)
     frontier = inner.where(F.col("dst") > F.col("src")).select(
@@ -208,8 +275,8 @@ def shortest_cycles(resolved: DataFrame, comp: DataFrame | None = None) -> DataF
     Breadth-first search runs from the end of every arc in the same rounds. A search
     keeps its first path to each node and ends when all arcs into its start are closed.
     """
-    comp = components(resolved) if comp is None else comp
-    arcs = _arcs(resolved)
+    arcs = cut_lineage(_arcs(resolved))
+    comp = _components(arcs) if comp is None else comp
     inner = _inner_arcs(arcs, comp)
     loops = arcs.where(F.col("src") == F.col("dst")).select(
         F.col("src").alias("from"), F.col("dst").alias("to"), F.array("src").alias("cycle")

@@ -58,6 +58,25 @@ def test_components_equal_mutual_reach(spark):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_components_settle_small_reach_by_lists(spark, monkeypatch):
+    """Nodes that reach few others need no labels; a long chain, a large ring and a hub still get theirs."""
+    monkeypatch.setattr(GR, "REACH", 5)
+    ring = lambda p, n: [(f"{p}{i:02d}", f"{p}{(i + 1) % n:02d}") for i in range(n)]
+    few = [*ring("a", 3), *ring("b", 2), ("a00", "b01"), ("s", "s"), ("s", "b00"), ("t", "s")]
+    many = [*ring("r", 9), ("r04", "a01"), *[("hub", f"x{i}") for i in range(9)], ("x1", "hub"), *[(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)], ("c12", "a00")]
+    both = few + many
+    want = {n: n for p in both for n in p}
+    want |= {f"a{i:02d}": "a00" for i in range(3)} | {f"b{i:02d}": "b00" for i in range(2)} | {f"r{i:02d}": "r00" for i in range(9)} | {"x1": "hub"}
+    assert {r["name"]: r["component"] for r in GR.components(graph(spark, both)).collect()} == want
+
+    def labels(arcs):
+        raise AssertionError("labels are spread although every node reaches few")
+
+    monkeypatch.setattr(GR, "_reach_labels", labels)
+    got = {r["name"]: r["component"] for r in GR.components(graph(spark, few)).collect()}
+    assert got == {n: want[n] for p in few for n in p}
+
+
 def test_events(spark, rows):
     s = "event string, kind string, resource string, file string, line long, call string, side string, direction string, broadcast boolean"
     e = lambda ev, kind, d=None, bc=None, r="r": (ev, kind, r, "f", 1, "c", "s", d, bc)
