@@ -37,6 +37,8 @@ SHARE = 0.001
 LANGUAGES = 512
 #: Languages scored at a time.
 BLOCK = 8
+#: Scores (of a word for a language) that wait to be labelled together, so that a step of Viterbi serves many texts.
+HELD = 1 << 21
 
 # Scripts and their code points, from the Unicode block list.
 SCRIPTS = [
@@ -168,22 +170,28 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     begin, length = first[hard], size[hard]
     steps = int(length[0])
     live = np.searchsorted(-length, -np.arange(steps), side="left")  # texts with a word at each step
-    back: list[tuple[np.ndarray, np.ndarray]] = []
-    d = np.zeros((len(hard), scores.shape[1]), np.float64)
-    for t in range(steps):
-        k = int(live[t])
-        now = d[:k]
-        top = now.argmax(axis=1)
-        reach = now[np.arange(k), top][:, None] - switch
-        stay = now >= reach
-        d[:k] = np.where(stay, now, reach) + scores[begin[:k] + t]
-        back.append((top.astype(np.int16), stay))
+    ends = np.cumsum(live)
+    # the words step by step, so that a step is a slice
+    at_step = np.arange(ends[-1]) - np.repeat(ends - live, live)
+    order = begin[at_step] + np.repeat(np.arange(steps), live)
+    heard, before = scores[order].astype(np.float64), np.empty((len(order), scores.shape[1]))
+    d = np.zeros((len(hard), scores.shape[1]))
+    cuts = [0, *ends.tolist()]
+    for lo, hi in zip(cuts, cuts[1:]):
+        now = d[: hi - lo]
+        before[lo:hi] = now
+        np.maximum(now, now.max(axis=1, keepdims=True) - switch, out=now)
+        now += heard[lo:hi]
     at = d.argmax(axis=1)  # a text's state is left as it was at its last word
-    for t in range(steps - 1, -1, -1):
-        k = int(live[t])
-        labels[begin[:k] + t] = at[:k]
-        top, stay = back[t]
-        at[:k] = np.where(stay[np.arange(k), at[:k]], at[:k], top)
+    top = before.argmax(axis=1)[:, None]
+    stay = before >= np.take_along_axis(before, top, axis=1) - switch
+    came = np.where(stay, np.arange(scores.shape[1]), top).astype(np.int16)  # from which label
+    found, rows = np.empty(len(order), np.int16), np.arange(len(hard))
+    for lo, hi in zip(cuts[-2::-1], cuts[:0:-1]):
+        k = hi - lo
+        found[lo:hi] = at[:k]
+        at[:k] = came[lo:hi][rows[:k], at[:k]]
+    labels[order] = found
     return labels
 
 
@@ -194,30 +202,47 @@ def train(labelled: DataFrame) -> Model:
 
 
 def _predicted(model, switch: float, with_spans: bool):
+    def answers(m: Model, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The rows of slices that waited: their words are labelled together, a step for a word of every text."""
+        names = [*m.languages, "und"]
+        if m.languages:
+            scores = np.concatenate([h[3] for h in held])
+            begins = np.cumsum([0, *[len(h[3]) for h in held]])
+            first = np.concatenate([[0], *[h[2][1:] + b for h, b in zip(held, begins)]])
+            every = viterbi(scores, first, switch)
+        for k, (ids, letters, first, s) in enumerate(held):
+            n = len(ids)
+            doc = np.repeat(np.arange(n), np.diff(first))
+            pred, score = np.full(n, len(names) - 1), np.zeros(n)
+            labels = np.zeros(0, np.int16)
+            if m.languages:
+                labels = every[begins[k] : begins[k + 1]]
+                scored = s.any(axis=1)
+                votes = np.bincount(doc[scored] * len(m.languages) + labels[scored], minlength=n * len(m.languages)).reshape(n, -1)
+                total = votes.sum(axis=1)
+                pred = np.where(total > 0, votes.argmax(axis=1), m.prior.argmax())
+                score = np.where(total > 0, votes.max(axis=1) / np.maximum(total, 1), m.prior.max())
+                pred[~letters], score[~letters] = len(names) - 1, 0.0
+            out = [ids, pa.array([names[i] for i in pred]), pa.array(score), pa.array(np.diff(first).astype(np.int64))]
+            if with_spans:
+                out.append(pa.array([_runs(labels[a:b], names) for a, b in zip(first[:-1], first[1:])], pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "n_words", "spans"][: len(out)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        names = [*m.languages, "und"]
         for batch in batches:
+            held, size = [], 0
             for lo, hi, data, offs in A.slices(batch.column("text")):
-                n = hi - lo
                 w = A.words(data, offs)
-                doc = np.repeat(np.arange(n), np.diff(w.first))
-                letters = np.asarray(batch.column("has_letter").slice(lo, n).fill_null(False))
-                pred, score = np.full(n, len(names) - 1), np.zeros(n)
-                labels = np.zeros(0, np.int16)
-                if m.languages:
-                    s = m.word_scores(data, w)
-                    labels = viterbi(s, w.first, switch)
-                    scored = s.any(axis=1)
-                    votes = np.bincount(doc[scored] * len(m.languages) + labels[scored], minlength=n * len(m.languages)).reshape(n, -1)
-                    total = votes.sum(axis=1)
-                    pred = np.where(total > 0, votes.argmax(axis=1), m.prior.argmax())
-                    score = np.where(total > 0, votes.max(axis=1) / np.maximum(total, 1), m.prior.max())
-                    pred[~letters], score[~letters] = len(names) - 1, 0.0
-                out = [batch.column("doc_id").slice(lo, n), pa.array([names[i] for i in pred]), pa.array(score), pa.array(np.diff(w.first).astype(np.int64))]
-                if with_spans:
-                    out.append(pa.array([_runs(labels[a:b], names) for a, b in zip(w.first[:-1], w.first[1:])], pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "n_words", "spans"][: len(out)])
+                letters = np.asarray(batch.column("has_letter").slice(lo, hi - lo).fill_null(False))
+                s = m.word_scores(data, w) if m.languages else None
+                held.append((batch.column("doc_id").slice(lo, hi - lo), letters, w.first, s))
+                size += 0 if s is None else s.size
+                if size >= HELD:
+                    yield from answers(m, held)
+                    held, size = [], 0
+            if held:
+                yield from answers(m, held)
 
     return run
 

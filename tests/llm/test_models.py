@@ -194,3 +194,22 @@ def test_toxicity(spark, docs, labels, weird, empty):
     assert toxicity.score(empty, model).count() == 0
     flat = toxicity.fit(docs, labels.where("false"), "toxic", F.lit(True))
     assert {r.score for r in toxicity.score(weird, flat).collect()} == {0.5}
+
+
+def test_language_labels_many_slices_together(monkeypatch):
+    """Steps of Viterbi are shared by the texts of a batch, and no text's labels depend on its neighbours."""
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["kwik", "zwak", "vlak"]}
+    random = np.random.default_rng(3)
+    texts = [" ".join(random.choice(words["aa" if (i + j // 40) % 2 else "bb"], 1)[0] for j in range(n)) for i, n in enumerate([30_000, 0, 90, 200, 50_000, 1, 40_000, 300])]
+    taught = pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in words.values()]), pa.array(list(words))], names=["text", "lang"])
+    model = language.Model(pa.Table.from_batches(list(language._counts(iter([taught])))).select(["lang", "kind", "at", "n"]))
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows), pa.array([texts[i] for i in rows]), pa.array([bool(texts[i]) for i in rows])], names=["doc_id", "text", "has_letter"])
+    calls, plain = [], language.viterbi
+    monkeypatch.setattr(language, "viterbi", lambda *a: calls.append(len(a[0])) or plain(*a))
+    run = language._predicted(type("Shared", (), {"value": model}), language.SWITCH, True)
+    got = [r for b in run(iter([batch(list(range(len(texts))))])) for r in b.to_pylist()]
+    assert len(calls) == 1 and len(list(A.slices(pa.array(texts)))) > 2
+    assert got == [r for i in range(len(texts)) for b in run(iter([batch([i])])) for r in b.to_pylist()]
+    assert len(got[0]["spans"]) > 2
+    monkeypatch.setattr(language, "HELD", 1)
+    assert got == [r for b in run(iter([batch(list(range(len(texts))))])) for r in b.to_pylist()]
