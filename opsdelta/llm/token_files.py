@@ -38,6 +38,8 @@ END_ID = 1
 MAX_BITS = 16
 #: Ids between two checkpoints, ids after which a block is closed, and ids a bucket aims at.
 STRIDE, BLOCK, BUCKET = 256, 1 << 16, 1 << 22
+#: Bytes of text encoded at a time: more share the look-ups of their words.
+ENCODED = 1 << 20
 #: Buckets at most: their sizes are the only thing that travels to the driver.
 MOST_BUCKETS = 20_000
 
@@ -52,7 +54,7 @@ def _tokenised(path: str, end_id: int):
         kind = pa.int64()
         for batch in batches:
             texts, kind = batch.column("text").fill_null(""), batch.column("doc_id").type
-            for lo, hi, _, _ in A.slices(texts):
+            for lo, hi, _, _ in A.slices(texts, ENCODED):
                 out = [x + last for x in encoder.encode(texts.slice(lo, hi - lo).to_pylist())]
                 total = added(total, np.bincount(np.frombuffer(b"".join(out), dtype="<u4")))
                 yield pa.RecordBatch.from_arrays(

@@ -50,7 +50,7 @@ class Encoder:
 
     def encode_sentences(self, texts: list[str]) -> list[list[bytes]]:
         """The same, by sentences: one ends with a line or with `.`, `!` or `?` before a space."""
-        parted = [[_parts(s) for s in _sentences(t)] for t in texts]
+        parted = [_sentence_parts(t) for t in texts]
         ids = self._known([parts for sentences in parted for parts in sentences]).__getitem__
         return [[b"".join(map(ids, parts)) for parts in sentences] for sentences in parted]
 
@@ -73,11 +73,12 @@ class Encoder:
 
     def _learn(self, found: list[str]) -> None:
         """Runs of small Latin letters go to the merges at once, in the form that the byte step gives them; the others through all steps."""
-        merge, rest = self.library.model.tokenize, []
+        merge, rest, cache, pack = self.library.model.tokenize, [], self.cache, struct.pack
         for p in found:
-            if p.isalpha() and p.islower() and max(p) < "\u0180":
-                got = merge(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
-                self.cache[p] = struct.pack(f"<{len(got)}I", *[t.id for t in got])
+            plain = p.isascii()
+            if p.isalpha() and p.islower() and (plain or max(p) < "\u0180"):
+                got = merge(p if plain else p.encode().decode("latin-1").translate(_BYTES))
+                cache[p] = pack(f"<{len(got)}I", *[t.id for t in got])
             else:
                 rest.append(p)
         self.cache.update(zip(rest, self._library_ids(rest)))
@@ -108,9 +109,16 @@ def _runs(part: str) -> list[str]:
     return _RUNS.findall(part.lower())
 
 
-def _sentences(text: str) -> list[str]:
+def _sentence_parts(text: str) -> list[list[str]]:
+    """The parts of each sentence. What holds for a text holds for its sentences, so that each is not asked again."""
     if _whole(text):
-        return [text]
+        return [[text]]
+    odd = _odd(text)
+    if not odd:
+        text = text.lower()
     for end in _SENTENCE_END:
         text = text.replace(end + " ", end + "\n")
-    return text.split("\n")
+    sentences = text.split("\n")
+    if odd:
+        sentences = [s if _odd(s) else s.lower() for s in sentences]
+    return [s.split(" ") for s in sentences]

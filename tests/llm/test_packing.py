@@ -229,3 +229,19 @@ def test_pieces_carry_their_crc(spark):
     for r in got.collect():
         part = np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes()
         assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(part), len(ids[r.doc_id])), json.dumps(r.asDict())
+
+
+def test_sentences_are_not_asked_again_what_holds_for_their_text(monkeypatch):
+    from public_tokenizers import path
+
+    encoder = word_ids.Encoder(path("word_bpe_49k.json"))
+    texts = ["Don't stop. ΑΣ ΟΔΟΣ! İstanbul? Next Line\nA b. c. Ünï 3.14", "One Two. three Four! 5 six?\nSEVEN", "<|endoftext|> a. B", "éa. B c"]
+    for text in texts:
+        parts = word_ids._sentence_parts(text)
+        assert [x for p in parts for x in p] == (word_ids._parts(text) if len(parts) == 1 else [x for s in re.split(r"(?<=[.!?]) |\n", text) for x in word_ids._parts(s)])
+    assert [b"".join(p) for p in encoder.encode_sentences(texts)] == encoder.encode(texts)
+    encoder.encode_sentences(["one two. " * 50])
+    asked, plain = [], word_ids._whole
+    monkeypatch.setattr(word_ids, "_whole", lambda t: asked.append(t) or plain(t))
+    encoder.encode_sentences(["one two. " * 50])
+    assert len(asked) == 1
