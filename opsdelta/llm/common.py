@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +45,28 @@ def ship(spark: SparkSession) -> None:
     context._opsdelta_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim is not None:
+        trim(0)
+
+
+def _then_give_back(fn):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """`mapInArrow` with this package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_then_give_back(fn), schema)
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -38,7 +38,7 @@ LANGUAGES = 512
 #: Languages scored at a time.
 BLOCK = 8
 #: Scores (of a word for a language) that wait to be labelled together, so that a step of Viterbi serves many texts.
-HELD = 1 << 21
+HELD = 1 << 20
 
 # Scripts and their code points, from the Unicode block list.
 SCRIPTS = [
@@ -174,7 +174,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     # the words step by step, so that a step is a slice
     at_step = np.arange(ends[-1]) - np.repeat(ends - live, live)
     order = begin[at_step] + np.repeat(np.arange(steps), live)
-    heard, before = scores[order].astype(np.float64), np.empty((len(order), scores.shape[1]))
+    heard, before = scores[order], np.empty((len(order), scores.shape[1]))
     d = np.zeros((len(hard), scores.shape[1]))
     cuts = [0, *ends.tolist()]
     for lo, hi in zip(cuts, cuts[1:]):
@@ -183,9 +183,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         np.maximum(now, now.max(axis=1, keepdims=True) - switch, out=now)
         now += heard[lo:hi]
     at = d.argmax(axis=1)  # a text's state is left as it was at its last word
-    top = before.argmax(axis=1)[:, None]
-    stay = before >= np.take_along_axis(before, top, axis=1) - switch
-    came = np.where(stay, np.arange(scores.shape[1]), top).astype(np.int16)  # from which label
+    stay = before >= before.max(axis=1, keepdims=True) - switch
+    came = np.where(stay, np.arange(scores.shape[1], dtype=np.int16), before.argmax(axis=1).astype(np.int16)[:, None])  # from which label
     found, rows = np.empty(len(order), np.int16), np.arange(len(hard))
     for lo, hi in zip(cuts[-2::-1], cuts[:0:-1]):
         k = hi - lo

@@ -213,3 +213,11 @@ def test_language_labels_many_slices_together(monkeypatch):
     assert len(got[0]["spans"]) > 2
     monkeypatch.setattr(language, "HELD", 1)
     assert got == [r for b in run(iter([batch(list(range(len(texts))))])) for r in b.to_pylist()]
+
+
+def test_workers_give_back_memory_after_a_task(monkeypatch):
+    from opsdelta.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common._then_give_back(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and given == [1]
