@@ -113,32 +113,53 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_ms: int, span: str =
 def last_within(
     facts: DataFrame, asks: DataFrame, keys: list[str], at: str, value: str, reach: int, parts: int = 64
 ) -> DataFrame:
-    """(keys, at, value) for each ask whose last fact at or before it is at most `reach` back.
+    """(keys, at, value) for each ask whose last fact at or before it is at most `reach` back."""
+    found = last_values_within(facts, asks, keys, at, [value], reach, parts)
+    return found.where(F.col(f"{value}_at").isNotNull()).select(*keys, at, value)
 
-    `facts` hold one row per keys and `at` (a whole number), `asks` are distinct keys and
-    `at`; no key is NULL. Time is cut into parts of `reach / parts`. Inside a part the last
+
+def last_values_within(
+    facts: DataFrame, asks: DataFrame, keys: list[str], at: str, values: list[str], reach: int, parts: int = 64
+) -> DataFrame:
+    """Every ask with, per value, the last one at or before it and its time `<value>_at`, NULL if more than `reach` back.
+
+    `facts` hold one row per keys and `at` (a whole number) and one or more of the values;
+    `asks` hold keys, `at` and any other columns; no key is NULL. Time is cut into parts of
+    `reach / parts`. Inside a part the last
     fact runs along the sorted times; the last fact of the parts before it, `parts` to
     twice as many, comes from one row a part. So the rows one task must see together are
     bounded by the times in a part and by the number of parts, however busy a key is.
     """
     width = -(-reach // parts)
+    others = [c for c in asks.columns if c not in (*keys, at)]
     part = F.floor(F.col(at) / F.lit(width)).cast("bigint")
     own_slice = F.floor(F.col("_part") / F.lit(parts)).cast("bigint")
-    told = facts.select(*keys, at, part.alias("_part"), F.struct(F.col(at).alias("at"), value).alias("_fact"))
-    asked = asks.select(*keys, at, part.alias("_part"), F.lit(None).cast(told.schema["_fact"].dataType).alias("_fact"))
-    both = told.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)))
+    pairs = [c for v in values for c in (v, f"{v}_at")]
+    told = facts.select(
+        *keys, at, part.alias("_part"),
+        *[c for v in values for c in (F.col(v), F.when(F.col(v).isNotNull(), F.col(at)).alias(f"{v}_at"))],
+    )
+    asked = asks.select(*keys, at, part.alias("_part"), *others)
+    both = told.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
     so_far = Window.partitionBy(*keys, "_part").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("_in", F.last("_fact", ignorenulls=True).over(so_far)).where("_ask").drop("_fact", "_ask")
+    inside = both.select(
+        *keys, at, "_part", "_ask", *others, *[F.last(c, ignorenulls=True).over(so_far).alias(f"_in_{c}") for c in pairs]
+    ).where("_ask")
     tails = (
-        both.groupBy(*keys, "_part", "_ask")
-        .agg(F.max_by("_fact", at).alias("_tail"))
-        .withColumn("_slice", F.explode(F.when(F.col("_ask"), F.array(own_slice)).otherwise(F.array(own_slice, own_slice + 1))))
+        told.groupBy(*keys, "_part")
+        .agg(*[f for v in values for f in (F.max_by(v, f"{v}_at").alias(v), F.max(f"{v}_at").alias(f"{v}_at"))])
+        .select("*", F.lit(False).alias("_ask"), F.explode(F.array(own_slice, own_slice + 1)).alias("_slice"))
     )
+    heads = asked.select(*keys, "_part").distinct().select("*", F.lit(True).alias("_ask"), own_slice.alias("_slice"))
     earlier = Window.partitionBy(*keys, "_slice").orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).where("_ask").select(*keys, "_part", "_carry")
-    return (
-        inside.join(carried, [*keys, "_part"])
-        .withColumn("_found", F.coalesce("_in", "_carry"))
-        .where(F.col(at) - F.col("_found.at") <= F.lit(reach))
-        .select(*keys, at, F.col(f"_found.{value}").alias(value))
+    carried = (
+        tails.unionByName(heads, allowMissingColumns=True)
+        .select(*keys, "_part", "_ask", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in pairs])
+        .where("_ask")
+        .drop("_ask")
+    )
+    last = lambda c: F.coalesce(f"_in_{c}", f"_carry_{c}")
+    near = lambda v: F.col(at) - last(f"{v}_at") <= F.lit(reach)
+    return inside.join(carried, [*keys, "_part"]).select(
+        *asks.columns, *[F.when(near(v), last(c)).alias(c) for v in values for c in (v, f"{v}_at")]
     )

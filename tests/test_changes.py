@@ -193,3 +193,32 @@ def test_purge_scopes(spark):
     left = lambda *a, **k: sorted(str(r["server_id"]) for r in RT.purge(df, "at", now, 30, *a, **k).collect())
     assert left() == ["a"] and left("a") == ["None", "a", "b"] and left("a", everything=True) == ["None", "b"] and left(everything=True) == []
     assert RT.purge_counts({"t": (df.drop("server_id"), "at", 30)}, now, "a", True).first()["deleted"] == 0
+
+
+def _plan(df):
+    """The optimised plan without the given rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "\n".join(line for line in plan.splitlines() if "LogicalRDD" not in line)
+
+
+def test_links_carry_ids_and_look_up_descriptions_only_where_asked(spark):
+    df = signals(spark, sig(1, "RESOURCE_CHANGED", 0), sig(2, "ERROR_SPIKE", 60_000))
+    lean = _plan(CO.strongest_links(df).select("effect_id", "change_id", "confidence"))
+    assert "LeftOuter" not in lean and "description" not in lean
+    lean = _plan(CO.build_incidents(df).select("id", "severity"))
+    assert "LeftOuter" not in lean and "description" not in lean
+    full = CO.strongest_links(df).first()
+    assert (full["change_description"], full["change_kind"], full["effect_description"]) == ("RESOURCE_CHANGED a", "RESOURCE_CHANGED", "ERROR_SPIKE a")
+
+
+def test_merged_shuffle_partitions_stay_small_unless_the_session_says_otherwise(spark):
+    from opsdelta.plans import QUERIES
+    from opsdelta.session import ADVISORY, PART_BYTES
+
+    spark.conf.unset(ADVISORY)
+    QUERIES["incidents"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(ADVISORY) == PART_BYTES
+    spark.conf.set(ADVISORY, "1m")
+    QUERIES["incidents"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(ADVISORY) == "1m"
+    spark.conf.unset(ADVISORY)
