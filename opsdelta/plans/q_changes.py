@@ -254,7 +254,8 @@ def _(spark, sf):
     from (select * from {INCIDENTS} order by started_at desc, id limit 20) n join {TIMELINE} t on t.incident_id = n.id""",
 )
 def _(spark, sf):
-    return CO.recent_incidents(incidents(spark, sf), timeline(spark, sf)).withColumn("started_at", iso("started_at"))
+    recent = CO.recent_incidents(V.signals(spark, sf), incidents(spark, sf), V.findings(spark, sf))
+    return recent.withColumn("started_at", iso("started_at")).withColumn("occurred_at", iso("occurred_at"))
 
 
 AT = "2024-02-01T00:00:00.000Z"
