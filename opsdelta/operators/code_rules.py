@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finding_id, fixed
@@ -163,14 +163,36 @@ def query_findings(queries: DataFrame) -> DataFrame:
 def enclosing(positions: DataFrame, loops: DataFrame, width: int = 64) -> DataFrame:
     """Each position with the innermost `[start, end)` interval around it, or NULL.
 
-    `positions`: file, id, at; `loops`: file, start, end.
+    `positions`: file, id, at; `loops`: file, start, end; places are whole numbers. The answer
+    changes only where an interval starts or ends. So it is sought at those places and at the
+    start of every stretch of `width` that holds positions, and each holds up to the
+    next one of its stretch, `width` at most. A position then meets its stretch in one row.
     """
+    block = lambda at: F.floor(F.col(at) / F.lit(width)).cast("bigint")
+    stretches = positions.where("file is not null and at is not null").select("file", block("at").alias("_b")).distinct()
+    spans = loops.where("end > start").join(stretches.select("file").distinct(), "file", "left_semi")
+    ends = spans.select("file", F.explode(F.array(F.col("start").cast("bigint"), F.col("end").cast("bigint"))).alias("_lo")).distinct()
+    places = (
+        ends.withColumn("_b", block("_lo"))
+        .join(stretches, ["file", "_b"], "left_semi")
+        .unionByName(stretches.withColumn("_lo", F.col("_b") * F.lit(width)))
+        .select("file", "_lo")
+        .distinct()
+    )
     hits = interval_join(
-        positions.select("file", "id", "at"),
-        loops.select("file", F.col("start").alias("loop_start"), F.col("end").alias("loop_end")),
-        ["file"], F.col("at"), F.col("loop_start"), F.col("loop_end"), width,
+        places, spans.select("file", F.col("start").alias("loop_start"), F.col("end").alias("loop_end")),
+        ["file"], F.col("_lo"), F.col("loop_start"), F.col("loop_end"), width,
+    )
+    answers = (
+        hits.select("file", "_lo", "loop_start")
+        .unionByName(places, allowMissingColumns=True)
+        .groupBy("file", "_lo")
+        .agg(F.max("loop_start").alias("loop_start"))
+        .withColumn("_b", block("_lo"))
     )
-    inner = hits.groupBy("file", "id", "at").agg(
-        F.max(F.struct("loop_start", -F.col("loop_end"))).alias("_m")
-    ).select("file", "id", "at", F.col("_m.loop_start").alias("loop_start"))
-    return positions.join(inner, ["file", "id", "at"], "left")
+    after = F.lead("_lo").over(Window.partitionBy("file", "_b").orderBy("_lo"))
+    pieces = answers.withColumn("_hi", F.coalesce(after, (F.col("_b") + 1) * F.lit(width))).where("loop_start is not null")
+    p = positions.withColumn("_b", block("at"))
+    inside = (p["at"] >= pieces["_lo"]) & (p["at"] < pieces["_hi"])
+    found = p.join(pieces, (p["file"] == pieces["file"]) & (p["_b"] == pieces["_b"]) & inside, "left")
+    return found.select(*[p[c] for c in positions.columns], pieces["loop_start"])

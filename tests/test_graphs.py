@@ -198,3 +198,17 @@ def test_shortest_cycles(spark):
     dense = [(a, b) for a in names for b in names if a != b]
     assert get(dense) == {(a, b): (a, b) for a, b in dense}
     assert get([("a", "b"), ("b", "c")]) == {}
+
+
+def test_enclosing_of_short_and_long_loops_equals_a_search_and_copies_no_position(spark):
+    rnd = random.Random(5)
+    points = [(rnd.choice("abc"), i, rnd.choice([None, *range(-300, 900)])) for i in range(400)] + [("b", 999, 10**9 + 5), (None, 1000, 4)]
+    loops = [(rnd.choice("abd"), lo, lo + rnd.choice([0, -3, 1, 7, 90, 1000])) for lo in (rnd.randrange(-300, 900) for _ in range(60))] + [("b", 20, 2 * 10**9), (None, 0, 9)]
+    pos = spark.createDataFrame(points, "file string, id long, at long")
+    found = CR.enclosing(pos, spark.createDataFrame(loops, "file string, start long, end long"))
+    near = lambda f, x: [lo for g, lo, hi in loops if f is not None and f == g and x is not None and lo <= x < hi]
+    want = {(f, i, x, max(near(f, x), default=None)) for f, i, x in points}
+    assert {tuple(r) for r in found.select("file", "id", "at", "loop_start").collect()} == want and found.count() == len(points)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "id#" not in "".join(line for line in plan.splitlines() if "Generate" in line)
+    assert "Aggregate [file" in plan and not any("id#" in line for line in plan.splitlines() if "Aggregate" in line)
