@@ -94,7 +94,8 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # every value found in the line is masked in its excerpt, also those of dropped matches, longest first
     values = F.array_sort(F.array_distinct(F.transform("_all", lambda m: F.struct((-F.length(m["value"])).alias("n"), m["value"].alias("value")))))
     masked = F.aggregate(values, F.col("_line"), lambda line, v: F.replace(line, v["value"], F.lit(fixed.MASK)))
-    hits = rows.where(F.size("_kept") > 0).select(key, "_pos", F.explode("_kept").alias("m"), masked.alias("_line"))
+    # the outer form, as a test for empty lists would be pushed below and find all matches again, several times
+    hits = rows.select(key, "_pos", F.explode_outer("_kept").alias("m"), masked.alias("_line")).where(F.col("m").isNotNull())
     value = F.col("m.value")
     variety = F.size(F.array_distinct(F.split(value, "")))
     confidence = F.when(value.rlike(PLACEHOLDER), F.lit(PLACEHOLDER_CONFIDENCE)).otherwise(

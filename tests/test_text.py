@@ -161,3 +161,11 @@ def test_prose_costs_no_token_a_word(spark):
     assert CS.token_stream(docs, "file", "text").count() < 60
     got = sorted(tuple(r)[1:] for r in CS.call_sites(docs, "file", "text").collect())
     assert got == [(2, "f", [], ["5"], True), (2, "g", [], [], True)]
+
+
+def test_secrets_of_a_line_are_sought_once(spark):
+    df = spark.createDataFrame([(1, "calm key\npass" + "word = 'abcdefgh'")], "doc_id long, text string")
+    found = TX.scan_secrets(df)
+    assert [(r["kind"], r["line"]) for r in found.collect()] == [("PASSWORD", 2)]
+    plan = found.where("line = 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(concat(") == 1
