@@ -12,6 +12,7 @@ import os
 import re
 import struct
 import unicodedata
+from itertools import islice
 
 import numpy as np
 
@@ -51,8 +52,23 @@ class Encoder:
     def encode_sentences(self, texts: list[str]) -> list[list[bytes]]:
         """The same, by sentences: one ends with a line or with `.`, `!` or `?` before a space."""
         parted = [_sentence_parts(t) for t in texts]
-        ids = self._known([parts for sentences in parted for parts in sentences]).__getitem__
-        return [[b"".join(map(ids, parts)) for parts in sentences] for sentences in parted]
+        ids = iter(self._joined([parts for sentences in parted for parts in sentences]))
+        return [list(islice(ids, len(sentences))) for sentences in parted]
+
+    def _joined(self, parted: list[list[str]]) -> list[bytes]:
+        """The ids of short lists of parts; most hold known parts only, so they are tried before any is looked for."""
+        out, missed, ids, join = [], [], self.cache.__getitem__, b"".join
+        for parts in parted:
+            try:
+                out.append(join(map(ids, parts)))
+            except KeyError:
+                missed.append(len(out))
+                out.append(b"")
+        if missed:
+            ids = self._known([parted[i] for i in missed]).__getitem__
+            for i in missed:
+                out[i] = join(map(ids, parted[i]))
+        return out
 
     def _known(self, parted: list[list[str]]) -> dict[str, bytes]:
         """The cache, with every part in it."""

@@ -245,3 +245,13 @@ def test_sentences_are_not_asked_again_what_holds_for_their_text(monkeypatch):
     monkeypatch.setattr(word_ids, "_whole", lambda t: asked.append(t) or plain(t))
     encoder.encode_sentences(["one two. " * 50])
     assert len(asked) == 1
+
+
+def test_sentences_of_known_words_are_joined_without_a_search(monkeypatch):
+    from public_tokenizers import path
+
+    encoder, texts = word_ids.Encoder(path("word_bpe_49k.json")), ["One two. Three!\nfour  five", "", "don't <|endoftext|> a b"]
+    first = encoder.encode_sentences(texts)
+    assert [len(x) for x in first] == [3, 1, 1] and [b"".join(x) for x in first] == encoder.encode(texts)
+    monkeypatch.setattr(encoder, "_known", None)
+    assert encoder.encode_sentences(texts) == first
