@@ -319,6 +319,11 @@ class Forest:
         return in_arrow(self._blocks(groups, 2), _within(self.threshold, True), "a binary, b binary")
 
 
+def no_links(spark: SparkSession) -> DataFrame:
+    """An empty (a, b). Local rows would be read by Python workers of their own, which wait on for a minute."""
+    return spark.range(0).select(F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL, shingle: int = SHINGLE, trees: int = TREES, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
@@ -329,7 +334,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = narrow(df, doc_id=id_col, text=text_col)
     forest = Forest(docs, threshold, target, shingle, trees)
-    links = df.sparkSession.createDataFrame([], "a binary, b binary")
+    links = no_links(df.sparkSession)
     tested = links
     groups = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for i in range(len(forest.lengths)):

@@ -135,6 +135,33 @@ def test_pipeline(spark, tmp_path, corpus):
     assert P.ORACLE_SQL is None and "op5_jaccard_join" in __import__("__spark_entry__").queries()
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_a_stage_alone_hands_over_small_batches(spark, tmp_path, k):
+    import corpus_pipeline as P
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "n_bytes"])
+
+    spark.createDataFrame([(1, "no such passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "one two", "en"), (2, "three four", "en")], "doc_id long, text string, lang string")
+    for key in P.BATCHES:
+        spark.conf.unset(key)
+    out = P.STAGES[k][1](spark, docs, str(tmp_path))
+    short, long = (spark.range(0, 6000, 1, 1).selectExpr("id", f"repeat('x', {n}) as text").mapInArrow(sizes, "n long, n_bytes long") for n in (10, 10_000))
+    assert sum(r.n for r in short.collect()) == 6000 and max(r.n for r in short.collect()) <= 1000
+    assert sum(r.n for r in long.collect()) == 6000 and max(r.n_bytes for r in long.collect()) < 5 << 20
+    assert {r.doc_id for r in out.collect()} == {1, 2}
+
+
+def test_no_links_need_no_python(spark):
+    empty = J.no_links(spark)
+    assert empty.dtypes == [("a", "binary"), ("b", "binary")] and empty.count() == 0
+    assert "ExistingRDD" not in empty._jdf.queryExecution().toString()
+
+
 def test_sources_keep_house_rules():
     import glob
     import os
