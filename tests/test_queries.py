@@ -86,6 +86,25 @@ def test_equal_content_in_other_files_is_imported_once(spark, tmp_path, name):
     assert compare(QUERIES[name](spark, sf), con, ORACLES[name]) is None
 
 
+def test_the_runtime_state_counts_what_an_earlier_import_covered(spark, tmp_path):
+    from opsdelta.plans import q_metrics as QM
+    from opsdelta.sources import telemetry as TM
+
+    want = {}
+    for r in TM.with_digest(QM.docs(spark, SF)).collect():
+        want.setdefault(r["server_id"], {})[r["digest"]] = len(r["samples"]), len(r["events"])
+    got = {r["server_id"]: r for r in QUERIES["runtime_state"](spark, SF).collect()}
+    counts = {s: (r["document_count"], r["sample_count"], r["event_count"]) for s, r in got.items()}
+    assert counts == {s: (len(d), *map(sum, zip(*d.values()))) for s, d in want.items()}
+    assert {(r["first_import"][:10], r["last_import"][:10]) for r in got.values()} == {("2024-01-10", "2024-02-01")}
+    # documents without samples and events are equal on days without a time of writing: two files, one import
+    rows = "select e.* replace (99 * n.i as event_id, 4 as user_id, n.t as ts) from (select * from {events} limit 1) e, "
+    sf, con = _with_events(tmp_path, rows + "(values (1, timestamp '2024-01-08'), (2, timestamp '2024-01-13')) n(i, t)")
+    state = QUERIES["runtime_state"](spark, sf)
+    assert [(r["document_count"], r["last_import"][:10]) for r in state.collect()] == [(1, "2024-01-10")]
+    assert compare(state, con, ORACLES["runtime_state"]) is None
+
+
 def test_percentages_do_not_hang_on_the_order_of_sums(spark, tmp_path):
     # added up as doubles in this order the change rounds to +934.38%
     rows = [("click", v) for v in (3.9, 7.31, 6.71)] + [("view", v) for v in (84.02, 29.32, 72.02)]
