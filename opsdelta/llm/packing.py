@@ -108,16 +108,22 @@ def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, done = word_ids.encoder(path), 0
         last = np.array([end_id], dtype="<u4").tobytes()
+        mark = np.frombuffer(word_ids.MARK, dtype="<u4")[0]
         small = max(encoder.size, end_id + 1) <= 1 << 16  # ids travel in two bytes if all of them fit
         for batch in batches:
             texts = batch.column("text").fill_null("")
             for lo, hi, _, _ in A.slices(texts):
-                parts = encoder.encode_sentences(texts.slice(lo, hi - lo).to_pylist())
-                ends = [np.cumsum([len(s) // 4 for s in p[:-1]], dtype=np.uint32).tobytes() for p in parts]
-                ids = [b"".join([*p, last]) for p in parts]
-                lengths = [len(x) // 4 for x in ids]
-                if small:
-                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
+                marked = [x + last for x in encoder.encode_marked(texts.slice(lo, hi - lo).to_pylist())]
+                found = np.frombuffer(b"".join(marked), dtype="<u4")
+                first = np.cumsum([0, *[len(x) // 4 for x in marked]])
+                marks = np.flatnonzero(found == mark)
+                at = np.searchsorted(marks, first)  # marks before each text
+                ends = (marks - np.arange(len(marks)) - np.repeat((first - at)[:-1], np.diff(at))).astype("<u4")
+                ends = [ends[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
+                found, first = found[found != mark], first - at
+                lengths, raw = np.diff(first), found.astype("<u2").tobytes() if small else found.tobytes()
+                width = 2 if small else 4
+                ids = [raw[width * a : width * b] for a, b in zip(first.tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo), pa.array(A.row_ids(done, hi - lo)), pa.array(lengths, pa.int64()),

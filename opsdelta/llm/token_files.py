@@ -38,7 +38,7 @@ END_ID = 1
 MAX_BITS = 16
 #: Ids between two checkpoints, ids after which a block is closed, and ids a bucket aims at.
 STRIDE, BLOCK, BUCKET = 256, 1 << 16, 1 << 22
-#: Bytes of text encoded at a time: more share the look-ups of their words.
+#: Bytes of text encoded at a time: more share a count of their ids.
 ENCODED = 1 << 20
 #: Buckets at most: their sizes are the only thing that travels to the driver.
 MOST_BUCKETS = 20_000

@@ -10,20 +10,21 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import unicodedata
-from itertools import islice
-
-import numpy as np
+from struct import Struct, pack
 
 #: Parts and runs that the cache holds, and their characters; beyond either it starts anew.
 CACHED, LONG = 1_000_000, 1 << 24
+#: What stands for the end of a sentence among ids; no id is so large.
+MARK = b"\xff" * 4
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _RUNS = re.compile(r"[^\W\d_]+|(?:[^\w \n]+|[\d_]+)+")
 _SENTENCE_END, _MARKS = ".!?", frozenset(".,;:!?")
 #: The byte step shows a byte that prints as itself, and the n-th of the others as character 256 + n.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - _PRINTS))}
+#: A list of ids as bytes, by its length.
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
 _kept: dict = {}
 
 
@@ -33,6 +34,18 @@ def encoder(path: str) -> "Encoder":
     return _kept[path]
 
 
+class _Ids(dict):
+    """Ids by part or run, each found when it is first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+        self["\n"] = MARK  # no part holds a line break, but for a text that goes as it is
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.find(part)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,64 +53,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.merge = self.library.model.tokenize
+        self.cache = _Ids(self._new)
         self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, as the library gives them for the whole text."""
-        parted = [_parts(t) for t in texts]
-        ids = self._known(parted).__getitem__
-        return [b"".join(map(ids, parts)) for parts in parted]
+        ids = self._ids()
+        return [b"".join(map(ids, _parts(t))) for t in texts]
+
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        """The same with MARK after each sentence but the last: one ends with a line or with `.`, `!` or `?` before a space."""
+        ids = self._ids()
+        return [b"".join(map(ids, _marked_parts(t))) for t in texts]
 
     def encode_sentences(self, texts: list[str]) -> list[list[bytes]]:
-        """The same, by sentences: one ends with a line or with `.`, `!` or `?` before a space."""
-        parted = [_sentence_parts(t) for t in texts]
-        ids = iter(self._joined([parts for sentences in parted for parts in sentences]))
-        return [list(islice(ids, len(sentences))) for sentences in parted]
-
-    def _joined(self, parted: list[list[str]]) -> list[bytes]:
-        """The ids of short lists of parts; most hold known parts only, so they are tried before any is looked for."""
-        out, missed, ids, join = [], [], self.cache.__getitem__, b"".join
-        for parts in parted:
-            try:
-                out.append(join(map(ids, parts)))
-            except KeyError:
-                missed.append(len(out))
-                out.append(b"")
-        if missed:
-            ids = self._known([parted[i] for i in missed]).__getitem__
-            for i in missed:
-                out[i] = join(map(ids, parted[i]))
-        return out
-
-    def _known(self, parted: list[list[str]]) -> dict[str, bytes]:
-        """The cache, with every part in it."""
+        """The ids of each sentence."""
+        ids = self._ids()
+        return [[b"".join(map(ids, parts)) for parts in _sentence_parts(t)] for t in texts]
+
+    def _ids(self):
+        """The ids of a part, by the cache."""
         if len(self.cache) > CACHED or self.held > LONG:
-            self.cache, self.held = {}, 0
-        cache = self.cache
-        new = list(set().union(*parted).difference(cache))
-        cut = {p: runs for p in new if not p.isalpha() or _odd(p) or p.lower() != p for runs in [_runs(p)] if runs != [p]}
-        missing = list(set(new).difference(cut).union(*cut.values()).difference(cache))
-        for i in range(0, len(missing), 20_000):
-            self._learn(missing[i : i + 20_000])
-        cache.update((p, b"".join([cache[r] for r in runs])) for p, runs in cut.items())
-        self.held += sum(map(len, new))
-        return cache
-
-    def _library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, found: list[str]) -> None:
-        """Runs of small Latin letters go to the merges at once, in the form that the byte step gives them; the others through all steps."""
-        merge, rest, cache, pack = self.library.model.tokenize, [], self.cache, struct.pack
-        for p in found:
-            plain = p.isascii()
-            if p.isalpha() and p.islower() and (plain or max(p) < "\u0180"):
-                got = merge(p if plain else p.encode().decode("latin-1").translate(_BYTES))
-                cache[p] = pack(f"<{len(got)}I", *[t.id for t in got])
-            else:
-                rest.append(p)
-        self.cache.update(zip(rest, self._library_ids(rest)))
+            self.cache, self.held = _Ids(self._new), 0
+        return self.cache.__getitem__
+
+    def _new(self, part: str) -> bytes:
+        """The ids of a part that is not known: those of its runs."""
+        self.held += len(part)
+        cache, head = self.cache, part[:-1]
+        if part.isalpha():
+            if not _odd(part) and part.lower() == part:
+                return self._run(part)
+        elif part[-1:] in _MARKS and head.isalpha() and head.isascii():
+            return cache[head.lower()] + cache[part[-1]]
+        runs = _runs(part)
+        return b"".join([cache[r] if r in cache else self._known(r) for r in runs]) if runs != [part] else self._run(part)
+
+    def _known(self, run: str) -> bytes:
+        """The ids of a run, which is put into the cache."""
+        ids = self.cache[run] = self._run(run)
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        """A run of small Latin letters goes to the merges at once, in the form that the byte step gives it; another through all steps."""
+        plain = run.isascii()
+        if run.isalpha() and run.islower() and (plain or max(run) < "\u0180"):
+            got = [t.id for t in self.merge(run if plain else run.encode().decode("latin-1").translate(_BYTES))]
+        else:
+            got = self.library.encode(run, add_special_tokens=False).ids
+        return _PACK[len(got)](*got) if len(got) < len(_PACK) else pack(f"<{len(got)}I", *got)
 
 
 def _whole(text: str) -> bool:
@@ -117,9 +122,6 @@ def _parts(text: str) -> list[str]:
 
 def _runs(part: str) -> list[str]:
     """What the tokenizer treats apart in a part: never several runs of letters across a border, unless the part is whole or odd."""
-    head, end = part[:-1], part[-1:]
-    if end in _MARKS and head.isalpha() and head.isascii():
-        return [head.lower(), end]
     if " " in part or _odd(part) or _whole(part):
         return [part]
     return _RUNS.findall(part.lower())
@@ -127,14 +129,19 @@ def _runs(part: str) -> list[str]:
 
 def _sentence_parts(text: str) -> list[list[str]]:
     """The parts of each sentence. What holds for a text holds for its sentences, so that each is not asked again."""
-    if _whole(text):
-        return [[text]]
+    return [[text]] if _whole(text) else [s.split(" ") for s in _lines(text).split("\n")]
+
+
+def _marked_parts(text: str) -> list[str]:
+    """The same as one list, with a line break between sentences."""
+    return [text] if _whole(text) else _lines(text).replace("\n", " \n ").split(" ")
+
+
+def _lines(text: str) -> str:
+    """The text with a line for each sentence, in the case that its parts have."""
     odd = _odd(text)
     if not odd:
         text = text.lower()
     for end in _SENTENCE_END:
         text = text.replace(end + " ", end + "\n")
-    sentences = text.split("\n")
-    if odd:
-        sentences = [s if _odd(s) else s.lower() for s in sentences]
-    return [s.split(" ") for s in sentences]
+    return "\n".join([s if _odd(s) else s.lower() for s in text.split("\n")]) if odd else text

@@ -255,3 +255,16 @@ def test_sentences_of_known_words_are_joined_without_a_search(monkeypatch):
     assert [len(x) for x in first] == [3, 1, 1] and [b"".join(x) for x in first] == encoder.encode(texts)
     monkeypatch.setattr(encoder, "_known", None)
     assert encoder.encode_sentences(texts) == first
+
+
+def test_marks_stand_where_sentences_end(monkeypatch):
+    from public_tokenizers import path
+
+    encoder = word_ids.Encoder(path("word_bpe_49k.json"))
+    texts = ["One two. Three!\nfour  five,", "", "\n", "a.\n\n b", "don't <|endoftext|> a. b", "Don't. ΑΣ ΟΔΟΣ! 3.14, (x)? Ünï, y", "²½ _a_ 東京。京"]
+    for limit in (word_ids.CACHED, 0):  # a cache of no size starts anew with every call
+        monkeypatch.setattr(word_ids, "CACHED", limit)
+        assert encoder.encode_marked(texts) == [word_ids.MARK.join(x) for x in encoder.encode_sentences(texts)]
+        assert [x.replace(word_ids.MARK, b"") for x in encoder.encode_marked(texts)] == encoder.encode(texts)
+    want = [np.array(i[:-1], dtype="<u4").tobytes() for i in library_ids(texts)]
+    assert encoder.encode(texts) == want
